@@ -1,0 +1,14 @@
+import sys, time
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions","8").config("spark.ui.enabled","false").config("spark.driver.memory","8g").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+from convoyspark.plans import binding as b
+from convoyspark.functions import geo
+D="/root/testdata/sf0.001"
+p=b.plans(spark,D,*b.PLAN_COLUMNS)
+p.show(3,truncate=40,vertical=True)
+print(p.count())
+for f in (b.camps,b.residences,b.cameras,b.gates,b.districts,b.exit_routes,b.exit_points,b.camp_paths):
+    f(spark,D).show(2,truncate=60)
+x=spark.createDataFrame([(t,) for t in ["POINT (39.9 21.4)","LINESTRING (39.90 21.40, x y, 39.91 21.40)","MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)), ((5 5, 5 6, 6 6, 5 5)))","MULTILINESTRING ((0 0, 1 1))","linestring(0 0,1 1)","{bad",'{"type":"LineString","coordinates":[[39.90,21.40],[39.91,21.40]]}',"POINT (1)","POINT (1d 2)","LINESTRING ()", '{"type":"MultiPolygon","coordinates":[[[[0,0],[0,1],[1,1],[0,0]]],[[[5,5],[5,6],[6,6],[5,5]]]]}','{"type":"Point","coordinates":[1,2]}']],"t string")
+x.select("t",geo.parse_geometry(F.col("t")).alias("g")).select("t","g",geo.representative_point(F.col("g")), F.size(geo.segments(F.col("g")))).show(truncate=90)
