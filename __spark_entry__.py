@@ -784,8 +784,9 @@ def _gap(a: str, b: str) -> str:
 
 @query("haversine", f"{o.PLANS}, {_ANCHORS} SELECT plan_id, _sub, round({_gap('sa', 'ea')}, 3) AS metres FROM anchors")
 def haversine(spark, sf):
-    return _plans(spark, sf, *ROUTES).select("plan_id", s.SUB, F.round(
-        geo.distance_m(geometry.anchor("start"), geometry.anchor("end")), 3).alias("metres"))
+    ends = geometry.with_anchors(_plans(spark, sf, *ROUTES))
+    return ends.select("plan_id", s.SUB, F.round(
+        geo.distance_m(F.col("start_anchor"), F.col("end_anchor")), 3).alias("metres"))
 
 
 def _reverse(role: str, h: str, t_: str) -> str:

@@ -7,9 +7,10 @@ row, so it runs in the JVM and needs no UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from convoyspark.functions import text as t
 
@@ -22,66 +23,90 @@ POINT_TYPE = "struct<lon:double,lat:double>"
 GEOMETRY_TYPE = f"struct<type:string,parts:array<array<{POINT_TYPE}>>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    An array function binds it to a lambda variable; written out in place, a
+    parsed geometry would be parsed again at every mention.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    A filter on a plain column is pushed below the projection together with a
+    copy of the expression; it does not move below a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def point(lon: Column, lat: Column) -> Column:
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 
 
-def _geometry(kind: str, parts: Column) -> Column:
-    return F.struct(F.lit(kind).alias("type"), parts.alias("parts"))
-
-
-def _is_vertex(p: Column) -> Column:
-    return p["lon"].isNotNull() & p["lat"].isNotNull() & ~F.isnan(p["lon"]) & ~F.isnan(p["lat"])
-
-
-def _wkt_vertices(body: Column) -> Column:
-    """Vertices of a comma-separated list; pairs that are not two numbers are dropped."""
-    # A cast would take the suffixes of "1d" and "1f"; masking them makes it fail.
-    number = lambda words, i: F.translate(F.get(words, F.lit(i)), "dDfF", "????").try_cast("double")
-    pairs = F.transform(F.split(body, ","), lambda pair: F.split(F.trim(pair), r"\s+"))
-    return F.filter(F.transform(pairs, lambda w: point(number(w, 0), number(w, 1))), _is_vertex)
-
-
-def _parse_wkt(c: Column) -> Column:
-    """LINESTRING, POLYGON, MULTIPOLYGON and POINT; rings and parts run together into one."""
-    result = F
-    for tag, kind in (("LINESTRING", "LineString"), ("POLYGON", "Polygon"),
-                      ("MULTIPOLYGON", "MultiPolygon"), ("POINT", "Point")):
-        body = t.trim_ws(F.translate(F.substring(c, len(tag) + 1, 2_000_000_000), "()", ""))
-        if kind == "Point":
-            vertices = _wkt_vertices(F.regexp_replace(body, ",", "?"))
-            value = F.when(F.size(vertices) == 1, _geometry(kind, F.array(vertices)))
-        else:
-            value = F.when(body != "", _geometry(kind, F.array(_wkt_vertices(body))))
-        result = result.when(c.startswith(tag), value)
-    return result
-
-
-def _parse_geojson(c: Column) -> Column:
-    """GeoJSON by its ``type``; polygons of a MultiPolygon contribute all their rings."""
-    coordinates = lambda depth: F.from_json(
-        c, f"coordinates {'array<' * depth}double{'>' * depth}")["coordinates"]
-    vertex = lambda xy: point(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)))
-    line = lambda xs: F.filter(F.transform(xs, vertex), _is_vertex)
-    depth = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
-    parts = {
-        1: lambda x: F.array(line(F.array(x))),
-        2: lambda x: F.array(line(x)),
-        3: lambda x: F.transform(x, line),
-        4: lambda x: F.transform(F.flatten(x), line),
-    }
-    kind = F.get_json_object(c, "$.type")
-    result = F
-    for name, n in depth.items():
-        found = coordinates(n)
-        result = result.when(kind == name, F.when(found.isNotNull(), _geometry(name, parts[n](found))))
-    return result
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+# A WKT vertex: the first two numbers between two commas.  A JSON one: an array of numbers.
+_WKT_VERTEX = rf"(^|,)\s*({_NUMBER})\s+({_NUMBER})(?:\s[^,]*)?(?=,|$)"
+_JSON_VERTEX = rf"\[\s*({_NUMBER})\s*,\s*({_NUMBER})\s*(?:,[^\[\]]*)?\]"
+_TEXT_PARTS = "array<array<struct<lon:string,lat:string>>>"
+
+
+def _typed_parts(kind: Column, parts: Column) -> Column:
+    return F.struct(kind.alias("type"), parts.alias("parts"))
+
+
+def _wkt(c: Column) -> Column:
+    """Type and parts text of a WKT; rings and parts run together, bad vertices are dropped."""
+    # Recognised tags, in upper case only.  Each is as long as its type's name.
+    kind = (F.when(c.startswith("LINESTRING"), "LineString").when(c.startswith("POLYGON"), "Polygon")
+            .when(c.startswith("MULTIPOLYGON"), "MultiPolygon").when(c.startswith("POINT"), "Point"))
+
+    def of_body(body: Column) -> Column:
+        marked = F.regexp_replace(body, _WKT_VERTEX, '$1{"lon":"$2","lat":"$3"}')
+        between_vertices = r"(^|\})[^{}]*(\{|$)"
+        vertices = F.btrim(F.regexp_replace(marked, between_vertices, "$1,$2"), F.lit(","))
+        return let(vertices, lambda v: _typed_parts(
+            F.when((kind != "Point") & (body != ""), kind).when((v != "") & ~body.contains(","), kind),
+            F.concat(F.lit("[["), v, F.lit("]]"))))
+
+    bare = F.replace(F.replace(c, F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
+    return let(t.trim_ws(F.substring(bare, F.length(kind) + 1, F.lit(2_000_000_000))), of_body)
+
+
+def _geojson(c: Column) -> Column:
+    """Type and parts text of a GeoJSON; a MultiPolygon contributes all its rings."""
+
+    def of_object(found: Column) -> Column:
+        kind = found["type"]
+        nested = F.regexp_replace(found["coordinates"], _JSON_VERTEX, '{"lon":"$1","lat":"$2"}')
+        rings = F.regexp_replace(F.regexp_replace(nested, r"\]\s*\]\s*,\s*\[\s*\[", "],["), r"^\s*\[|\]\s*$", "")
+        return _typed_parts(kind, (
+            F.when(kind == "Point", F.concat(F.lit("[["), nested, F.lit("]]")))
+            .when(kind == "LineString", F.concat(F.lit("["), nested, F.lit("]")))
+            .when(kind == "MultiPolygon", rings)
+            .when(kind.isin("MultiLineString", "Polygon"), nested)))
+
+    return let(F.from_json(c, "type string, coordinates string"), of_object)
 
 
 def parse_geometry(c: Column) -> Column:
-    """Geometry of a WKT or GeoJSON text; null if it is neither."""
-    body = t.trim_ws(c)
-    return F.when(body.startswith("{"), _parse_geojson(body)).otherwise(_parse_wkt(body))
+    """Geometry of a WKT or GeoJSON text; null if it is neither.
+
+    Both notations are rewritten to one JSON form of the parts and read by a
+    single ``from_json``, so nothing is done vertex by vertex outside the
+    regular-expression and JSON readers.
+    """
+
+    def of_text(text: Column) -> Column:
+        return let(F.when(text.startswith("{"), _geojson(text)).otherwise(_wkt(text)), of_parts)
+
+    def of_parts(found: Column) -> Column:
+        parts = F.from_json(found["parts"], _TEXT_PARTS).try_cast(f"array<array<{POINT_TYPE}>>")
+        return let(parts, lambda x: F.when(found["type"].isNotNull() & x.isNotNull(), F.struct(
+            found["type"].alias("type"), x.alias("parts"))))
+
+    return let(t.trim_ws(c), of_text)
 
 
 def line_points(geometry: Column) -> Column:
@@ -96,19 +121,25 @@ def _mean(points: Column, axis: str) -> Column:
 
 def representative_point(geometry: Column) -> Column:
     """The point itself, the first vertex of a line, or the vertex mean of the first ring."""
-    first = F.get(geometry["parts"], F.lit(0))
-    return (
-        F.when(geometry["type"].isin("Point", "LineString"), F.get(first, F.lit(0)))
-        .when(geometry["type"].isin("Polygon", "MultiPolygon") & (F.size(first) > 0),
-              point(_mean(first, "lon"), _mean(first, "lat")))
-    )
+
+    def of(g: Column) -> Column:
+        first = F.get(g["parts"], F.lit(0))
+        return (
+            F.when(g["type"].isin("Point", "LineString"), F.get(first, F.lit(0)))
+            .when(is_area(g) & (F.size(first) > 0), point(_mean(first, "lon"), _mean(first, "lat")))
+        )
+
+    return let(geometry, of)
 
 
 def distance_m(a: Column, b: Column) -> Column:
     """Great-circle distance of two points in metres; infinite if one is missing."""
     half = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
     h = half(b["lat"] - a["lat"]) + F.cos(F.radians(a["lat"])) * F.cos(F.radians(b["lat"])) * half(b["lon"] - a["lon"])
-    return F.coalesce(F.lit(2 * MAP_RADIUS_M) * F.atan2(F.sqrt(h), F.sqrt(1 - h)), F.lit(float("inf")))
+    # ``least`` skips nulls, so missing points are tested for first.
+    missing = a["lon"].isNull() | b["lon"].isNull()
+    return F.when(missing, F.lit(float("inf"))).otherwise(
+        F.lit(2 * MAP_RADIUS_M) * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
 def bearing_deg(a: Column, b: Column) -> Column:

@@ -45,7 +45,7 @@ def canonical_plans(df: DataFrame, fill: bool = False) -> DataFrame:
             continue
         source_type = types.get(name, types.get(s.PLAN_ALIASES.get(name, ""), "string"))
         numeric[name] = t.parse_number(source) if source_type == "string" else source.cast("double")
-    drop = [other for name, other in s.PLAN_ALIASES.items() if other in df.columns and other != name]
+    drop = [other for name, other in s.PLAN_ALIASES.items() if other in df.columns and other.lower() != name.lower()]
     columns = {**aliased, **numeric}
     if fill:
         for name in s.REQUIRED_COLUMNS:

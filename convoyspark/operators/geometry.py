@@ -1,6 +1,8 @@
 """Geometries of plans: roles, labels, anchors and bounds.
 
-All columns are row-local; nothing here shuffles.
+All columns are row-local; nothing here shuffles.  Arrays of parsed geometries
+are exploded with the *outer* generators: for the inner ones Spark infers a
+filter on the array's size, which would parse every text a second time.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def explode_geometries(plans: DataFrame) -> DataFrame:
     A label belongs to a line or an area; a point-shaped internal or exit route has none.
     """
     exploded = with_geometries(plans).select(
-        *row_keys(plans), "plan_id", F.posexplode("geometries").alias("ord", "g"))
+        *row_keys(plans), "plan_id", F.posexplode_outer("geometries").alias("ord", "g")).where("ord is not null")
     unlabelled = (F.col("g.geom.type") == "Point") & (F.col("g.role") == "internal")
     return exploded.select(
         *row_keys(plans), "plan_id", "ord", F.col("g.role").alias("role"), F.col("g.geom").alias("geom"),
@@ -117,14 +119,21 @@ def anchor(end: str) -> Column:
 
 
 def with_anchors(plans: DataFrame) -> DataFrame:
-    """Add the points that orient routes: start, end, entrance, residence and destination."""
+    """Add the points that orient routes: start, end, entrance, residence and destination.
+
+    Where :func:`with_geometries` has run, its parsed geometries are used again.
+    """
     df = _with_all_columns(plans)
     spot = lambda c: geo.representative_point(geo.parse_geometry(F.col(c)))
-    df = df.withColumns({
-        "start_anchor": anchor("start"), "end_anchor": anchor("end"),
-        "entrance_anchor": F.coalesce(spot("entrance_point_geom"), spot("entrance_polygon")),
-    })
+    if "geometries" in df.columns:
+        parsed = lambda role: geo.representative_point(
+            F.get(F.filter("geometries", lambda x: x["role"] == role), F.lit(0))["geom"])
+        spots = {"start_anchor": parsed("start"), "end_anchor": parsed("end"), "area_anchor": parsed("entrance")}
+    else:
+        spots = {"start_anchor": anchor("start"), "end_anchor": anchor("end"), "area_anchor": spot("entrance_polygon")}
+    df = df.withColumns({**spots, "gate_anchor": spot("entrance_point_geom")})
     lives = lambda end: F.coalesce(F.col(f"{end}_point_type") == "residence", F.lit(False))
+    df = df.withColumn("entrance_anchor", F.coalesce("gate_anchor", "area_anchor")).drop("gate_anchor", "area_anchor")
     return df.withColumns({
         "residence_anchor": F.when(lives("start"), F.col("start_anchor")).when(lives("end"), F.col("end_anchor")),
         "destination_anchor": F.coalesce(
@@ -134,7 +143,8 @@ def with_anchors(plans: DataFrame) -> DataFrame:
 
 def geometry_bounds(plans: DataFrame) -> DataFrame:
     """Bounding box over all geometries: a per-row minimum and maximum, then one small aggregate."""
-    boxes = with_geometries(plans).select(F.explode("geometries").alias("g")).select(geo.bounds(F.col("g.geom")).alias("b"))
+    boxes = with_geometries(plans).select(F.explode_outer("geometries").alias("g")).where("g is not null").select(
+        geo.bounds(F.col("g.geom")).alias("b"))
     return boxes.agg(
         F.min("b.min_lon").alias("min_lon"), F.min("b.min_lat").alias("min_lat"),
         F.max("b.max_lon").alias("max_lon"), F.max("b.max_lat").alias("max_lat"), F.count(F.lit(1)).alias("geometries"))

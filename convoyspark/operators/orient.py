@@ -60,8 +60,8 @@ def _with_lines(plans: DataFrame) -> DataFrame:
 def route_orientation(plans: DataFrame) -> DataFrame:
     """Each line on its own: whether it is reversed, and its oriented ends."""
     lines = _with_lines(plans).select(
-        *g.row_keys(plans), "plan_id", F.explode("lines").alias("l"),
-        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end")])
+        *g.row_keys(plans), "plan_id", F.explode_outer("lines").alias("l"),
+        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end")]).where("l is not null")
     turned = lines.select(
         *g.row_keys(plans), "plan_id", F.col("l.role").alias("role"), F.col("l.points").alias("points"),
         should_reverse(F.col("l.points"), F.col("l.role")).alias("reversed"))
@@ -131,8 +131,8 @@ def connected_routes(plans: DataFrame) -> DataFrame:
     routes to end at the exit point.
     """
     df = _best_candidate(_with_lines(plans)).select(
-        *g.row_keys(plans), "plan_id", F.posexplode("sequence_").alias("position", "l"),
-        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end", "exit")])
+        *g.row_keys(plans), "plan_id", F.posexplode_outer("sequence_").alias("position", "l"),
+        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end", "exit")]).where("l is not null")
     points, role = F.col("l.points"), F.col("l.role")
     leaves_exit = geo.distance_m(_head(points), F.col("exit_anchor")) < geo.distance_m(_tail(points), F.col("exit_anchor"))
     reverse = F.when(role == "internal", should_reverse(points, role)).when(
@@ -150,6 +150,6 @@ def route_gaps(plans: DataFrame) -> DataFrame:
         (i - 1).alias("position"),
         _tail(F.element_at("sequence_", i)["points"]).alias("from_point"),
         _head(F.element_at("sequence_", i + 1)["points"]).alias("to_point"))))
-    gaps = df.select(*g.row_keys(plans), "plan_id", F.inline(pairs)).withColumn(
+    gaps = df.select(*g.row_keys(plans), "plan_id", F.inline_outer(pairs)).where("position is not null").withColumn(
         "metres", geo.distance_m(F.col("from_point"), F.col("to_point")))
     return gaps.where(F.col("metres").between(GAP_MIN_M, GAP_MAX_M))

@@ -49,7 +49,7 @@ _NAMED_TYPE = ("case when l_returnflag = 'A' then '{0}' when l_returnflag = 'N'
 PLAN_COLUMNS: dict[str, tuple[tuple[str, ...], str]] = {
     "plan_id": ((), "cast(l_orderkey * 10 + l_linenumber as string)"),
     s.ROW: ((), "l_orderkey * 10 + l_linenumber"),
-    s.SUB: ((), "concat(l_partkey, ':', l_suppkey)"),
+    s.SUB: ((), "concat(l_partkey, ':', l_suppkey, ':', cast(round(l_extendedprice * 100) as bigint))"),
     "owner_company_name": (("supplier", "nation"),
                            "case when l_suppkey % 37 = 36 then null when l_linenumber % 3 = 1 then concat(' ', lower(n_name)) "
                            "when l_linenumber % 3 = 2 then concat(n_name, '  ') else n_name end"),

@@ -2,13 +2,30 @@ import sys, time
 from pyspark.sql import SparkSession, functions as F
 spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions","8").config("spark.ui.enabled","false").config("spark.driver.memory","8g").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
-from convoyspark.plans import binding as b
-from convoyspark.functions import geo
-D="/root/testdata/sf0.001"
-p=b.plans(spark,D,*b.PLAN_COLUMNS)
-p.show(3,truncate=40,vertical=True)
-print(p.count())
-for f in (b.camps,b.residences,b.cameras,b.gates,b.districts,b.exit_routes,b.exit_points,b.camp_paths):
-    f(spark,D).show(2,truncate=60)
-x=spark.createDataFrame([(t,) for t in ["POINT (39.9 21.4)","LINESTRING (39.90 21.40, x y, 39.91 21.40)","MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)), ((5 5, 5 6, 6 6, 5 5)))","MULTILINESTRING ((0 0, 1 1))","linestring(0 0,1 1)","{bad",'{"type":"LineString","coordinates":[[39.90,21.40],[39.91,21.40]]}',"POINT (1)","POINT (1d 2)","LINESTRING ()", '{"type":"MultiPolygon","coordinates":[[[[0,0],[0,1],[1,1],[0,0]]],[[[5,5],[5,6],[6,6],[5,5]]]]}','{"type":"Point","coordinates":[1,2]}']],"t string")
-x.select("t",geo.parse_geometry(F.col("t")).alias("g")).select("t","g",geo.representative_point(F.col("g")), F.size(geo.segments(F.col("g")))).show(truncate=90)
+from convoyspark.functions import geo, text as t
+d=spark.range(0,200000,1,1).select(F.concat(F.lit("LINESTRING (39."),F.col("id"),F.lit(" 21.40, 39.85 21.35, 39.9 "),F.col("id"),F.lit(")")).alias("s"))
+d.cache().count()
+c=F.col("s")
+js=spark.range(0,200000,1,1).select(F.concat(F.lit('[[{"lon":"39.'),F.col("id"),F.lit('","lat":"21.4"},{"lon":"39.85","lat":"21.35"}]]')).alias("s")).cache(); js.count()
+jn=spark.range(0,200000,1,1).select(F.concat(F.lit('{"coordinates":[[39.'),F.col("id"),F.lit(',21.4],[39.85,21.35]]}')).alias("s")).cache(); jn.count()
+def run(name,df):
+    for i in range(2):
+        t0=time.time(); df.write.format("noop").mode("overwrite").save(); dt=time.time()-t0
+    print("%-20s %.2f us/row"%(name,dt/200000*1e6),flush=True)
+
+
+run("full",d.select(geo.parse_geometry(c)))
+W=geo._WKT_VERTEX
+L=lambda v,b: geo.let(v,b)
+run("let trim",d.select(L(t.trim_ws(c),lambda x:x)))
+run("replace2",d.select(F.replace(F.replace(c, F.lit("("), F.lit("")), F.lit(")"), F.lit(""))))
+run("let replace2",d.select(L(F.replace(F.replace(c, F.lit("("), F.lit("")), F.lit(")"), F.lit("")),lambda x:x)))
+run("wktvertex",d.select(F.regexp_replace(c, W, '$1{"lon":"$2","lat":"$3"}')))
+run("wktvertex let",d.select(L(c,lambda x:F.regexp_replace(x, W, '$1{"lon":"$2","lat":"$3"}'))))
+m=d.select(F.lit('{"lon":"39.1234","lat":"21.40"},{"lon":"39.85","lat":"21.35"},{"lon":"39.9","lat":"21.35"}').alias("s"),F.rand().alias("r"))
+m=m.select(F.concat("s",F.substring(F.col("r").cast("string"),1,0)).alias("s"))
+run("between",m.select(F.regexp_replace(c, r"(^|\})[^{}]*(\{|$)", "$1,$2")))
+run("from_json let",js.select(L(c,lambda x:F.from_json(x, geo._TEXT_PARTS))))
+run("from_json let cast",js.select(L(c,lambda x:F.from_json(x, geo._TEXT_PARTS).try_cast(f"array<array<{geo.POINT_TYPE}>>"))))
+run("split/slice",d.select(F.split(F.translate(c,"()",""),r"[,\s]+").cast("array<string>")))
+run("split try_cast arr",d.select(F.split(F.regexp_replace(c,r"[^0-9.,\s]",""),r"[,\s]+").try_cast("array<double>")))
