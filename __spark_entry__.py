@@ -876,7 +876,8 @@ def dq_routes(spark, sf):
 # ---------------------------------------------------------------------------
 
 _NEAR_CAMERAS = f"{o.PLANS}, {o._SHAPES}, {o._CAMERAS}, {o._near('cameras', 'name')}"
-_PASSING = "passing AS (SELECT DISTINCT s._row, s._sub, s.plan_id, near.pid AS camera FROM shapes s JOIN near USING (pts))"
+_PASSING = """passing AS (SELECT _row, _sub, plan_id, pid AS camera FROM shape_edges JOIN close USING (x1, y1, x2, y2)
+ UNION SELECT _row, _sub, plan_id, pid FROM shapes JOIN inside ON kind = 'Polygon' AND pts[1].lon = west AND pts[1].lat = south)"""
 
 
 @query("camera_plan_join", f"{_NEAR_CAMERAS}, {_PASSING} SELECT plan_id, _sub, camera FROM passing")

@@ -195,23 +195,28 @@ _GATES = """gates AS (SELECT concat(p_size, '/', p_partkey) AS gate_id, CASE WHE
  (3995000 + (p_partkey % 50) * 40 + CASE WHEN p_partkey % 7 = 0 THEN 200 ELSE 5 END) / 100000.0::DOUBLE AS longitude,
  (2135000 + (p_partkey % 30) * 40 + CASE WHEN p_partkey % 3 = 0 THEN 75 ELSE 5 END) / 100000.0::DOUBLE AS latitude FROM part)"""
 
-_M_PER_DEG = "(6371008.8 * 3.141592653589793 / 180)"
+_M_PER_DEG = "(6371008.8::DOUBLE * 3.141592653589793::DOUBLE / 180)"
 
 
 def _near(points: str, pid: str) -> str:
-    """Brute force: every distinct shape against every point, edge by edge."""
-    return f"""distinct_shapes AS (SELECT DISTINCT kind, pts FROM shapes),
- edges AS (SELECT kind, pts, pts[i] AS a, pts[CASE WHEN i < len(pts) THEN i + 1 ELSE i END] AS b
-   FROM (SELECT kind, pts, unnest(range(1, greatest(len(pts), 2))) AS i FROM distinct_shapes)),
- planar AS (SELECT {pid} AS pid, kind, pts, a, b, longitude AS x, latitude AS y,
-   (a.lon - longitude) * cos(radians(latitude)) * {_M_PER_DEG} AS ax, (a.lat - latitude) * {_M_PER_DEG} AS ay,
-   (b.lon - longitude) * cos(radians(latitude)) * {_M_PER_DEG} AS bx, (b.lat - latitude) * {_M_PER_DEG} AS by_
-   FROM edges, {points}),
+    """Every distinct edge against every point in its bounding box; squares by their corners."""
+    margin = 0.0004
+    return f"""shape_edges AS (SELECT _row, _sub, plan_id, pts[i].lon AS x1, pts[i].lat AS y1,
+   pts[CASE WHEN i < len(pts) THEN i + 1 ELSE i END].lon AS x2, pts[CASE WHEN i < len(pts) THEN i + 1 ELSE i END].lat AS y2
+   FROM (SELECT *, unnest(range(1, greatest(len(pts), 2))) AS i FROM shapes)),
+ edges AS (SELECT DISTINCT x1, y1, x2, y2 FROM shape_edges),
+ planar AS (SELECT {pid} AS pid, x1, y1, x2, y2,
+   (x1 - longitude) * cos(radians(latitude)) * {_M_PER_DEG} AS ax, (y1 - latitude) * {_M_PER_DEG} AS ay,
+   (x2 - longitude) * cos(radians(latitude)) * {_M_PER_DEG} AS bx, (y2 - latitude) * {_M_PER_DEG} AS by_
+   FROM edges JOIN {points} ON longitude BETWEEN least(x1, x2) - {margin} AND greatest(x1, x2) + {margin}
+   AND latitude BETWEEN least(y1, y2) - {margin} AND greatest(y1, y2) + {margin}),
  placed AS (SELECT *, CASE WHEN ax = bx AND ay = by_ THEN 0.0 ELSE
    least(greatest(-(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0.0), 1.0) END AS t FROM planar),
- near AS (SELECT DISTINCT pid, pts FROM placed WHERE sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay))) <= 20
-   UNION SELECT pid, pts FROM (SELECT pid, pts, count(*) FILTER (WHERE (a.lat > y) <> (b.lat > y)
-     AND x < (b.lon - a.lon) * (y - a.lat) / (b.lat - a.lat) + a.lon) AS n FROM planar WHERE kind = 'Polygon' GROUP BY 1, 2) WHERE n % 2 = 1)"""
+ close AS (SELECT DISTINCT pid, x1, y1, x2, y2 FROM placed
+   WHERE sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay))) <= 20),
+ squares AS (SELECT DISTINCT pts[1].lon AS west, pts[1].lat AS south, pts[3].lon AS east, pts[3].lat AS north FROM shapes WHERE kind = 'Polygon'),
+ inside AS (SELECT {pid} AS pid, west, south FROM squares JOIN {points} ON longitude > west AND longitude < east AND latitude > south AND latitude < north),
+ near AS (SELECT pid FROM close UNION SELECT pid FROM inside)"""
 
 
 def metres(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
