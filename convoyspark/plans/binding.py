@@ -114,11 +114,24 @@ _DIMENSIONS = {
 }
 
 
+def _spread(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """Give a file with fewer splits than cores to all cores; a larger one is left as it is.
+
+    Only worth it where rows carry geometry work.  A table of many splits, as
+    on a cluster, is never shuffled here.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    if not any(name in s.GEOMETRY_COLUMNS for name in wanted) or lines.rdd.getNumPartitions() * 2 > cores:
+        return lines
+    used = [c for c in lines.columns if c not in ("l_discount", "l_tax")]
+    return lines.select(*used).repartition(cores, "l_orderkey", "l_linenumber")
+
+
 def plans(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Canonical plans with the asked-for columns (and the row identity)."""
     wanted = list(dict.fromkeys([*columns, s.ROW, s.SUB]))
     needed = {dim for name in wanted for dim in PLAN_COLUMNS[name][0]}
-    joined = table(spark, sf_dir, "lineitem")
+    joined = _spread(table(spark, sf_dir, "lineitem"), wanted)
     for dim, (left, right, used, _) in _DIMENSIONS.items():
         if dim in needed:
             side = table(spark, sf_dir, dim).select(right, *used)
