@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from convoyspark.functions import geo, text as t
 from convoyspark.operators import geometry as g
@@ -26,8 +28,14 @@ def no_rows(df: DataFrame) -> DataFrame:
         "'no data' as check", "cast(null as bigint) as row", "cast(null as string) as column", "cast(null as string) as value")
 
 
-def numeric_violations(df: DataFrame, columns: tuple[str, ...] = s.NUMERIC_COLUMNS) -> DataFrame:
-    """Every non-blank cell of a numeric column that is not a plain number.
+def has_numeric_violation(df: DataFrame, columns: tuple[str, ...] = s.NUMERIC_COLUMNS) -> Column:
+    """True for a row with a non-blank cell that is not a number in any numeric column."""
+    tests = [t.is_not_numeric(F.col(c).cast("string")) for c in columns if c in df.columns]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def numeric_violations(df: DataFrame, columns: tuple[str, ...] = s.NUMERIC_COLUMNS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every non-blank cell of a numeric column that is not a plain number, with the carried columns.
 
     The cells are tested before they are unpivoted, so only offending ones are
     ever turned into rows.
@@ -37,14 +45,23 @@ def numeric_violations(df: DataFrame, columns: tuple[str, ...] = s.NUMERIC_COLUM
     bad = F.array(*[
         F.struct(F.lit(c).alias("column"), F.when(t.is_not_numeric(F.col(c).cast("string")), F.col(c).cast("string")).alias("value"))
         for c in present])
-    return df.select(row.alias("row"), F.inline(F.filter(bad, lambda x: x["value"].isNotNull()))).select(
-        F.lit("not numeric").alias("check"), "row", "column", "value")
+    return df.select(*carry, row.alias("row"), F.inline(F.filter(bad, lambda x: x["value"].isNotNull()))).select(
+        *carry, F.lit("not numeric").alias("check"), "row", "column", "value")
+
+
+def has_wrong_width(raw: DataFrame, corrupt: str = "_corrupt") -> Column:
+    """True for a row whose cell count differs from the header's, as the reader recorded it.
+
+    The reader only notices in columns it parses, so the test mentions all of them.
+    """
+    cells = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in raw.columns if c not in (corrupt, s.ROW)])
+    return F.when(F.length(cells) >= 0, F.col(corrupt).isNotNull())
 
 
 def width_violations(raw: DataFrame, corrupt: str = "_corrupt") -> DataFrame:
-    """Rows whose cell count differs from the header's, as the reader recorded them."""
+    """Rows whose cell count differs from the header's."""
     row = F.col(s.ROW) if s.ROW in raw.columns else F.lit(None).cast("bigint")
-    return raw.where(F.col(corrupt).isNotNull()).select(
+    return raw.where(has_wrong_width(raw, corrupt)).select(
         F.lit("row width").alias("check"), row.alias("row"), F.lit(None).cast("string").alias("column"),
         F.col(corrupt).alias("value"))
 

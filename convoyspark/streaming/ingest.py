@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from convoyspark.operators import derive, validate
 from convoyspark.plans import schema as s
+from convoyspark.sources.files import CORRUPT
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,21 +19,26 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="convoyspark-")
 
 
-def _replace(batch: DataFrame, batch_id: int, target: str, findings_path: str) -> None:
-    """Keep the newest load of the batch if it is valid and newer than the current snapshot."""
+def _replace(batch: DataFrame, target: str, findings_path: str) -> None:
+    """Publish the newest valid load of the batch if it is newer than the current snapshot.
+
+    A load is valid if no row is of the wrong width and no numeric cell holds
+    text; what is wrong with the others is kept as findings.
+    """
     spark = batch.sparkSession
-    newest = batch.agg(F.max("load_seq").alias("n")).head().n
-    if newest is None:
-        return
-    load = batch.where(F.col("load_seq") == newest)
-    findings = validate.numeric_violations(load).withColumn("load_seq", F.lit(newest))
-    findings.write.mode("append").parquet(findings_path)
-    # One row either way: is there any finding, and what is loaded now.
-    if not findings.limit(1).isEmpty():
-        return
-    if _current_load(spark, target) >= newest:
+    if s.ROW not in batch.columns:
+        batch = batch.withColumn(s.ROW, F.monotonically_increasing_id())
+    bad = validate.has_numeric_violation(batch)
+    if CORRUPT in batch.columns:
+        bad = bad | validate.has_wrong_width(batch, CORRUPT)
+    loads = batch.groupBy("load_seq").agg(F.max(bad).alias("bad")).agg(
+        F.max(F.when(~F.col("bad"), F.col("load_seq"))).alias("newest"), F.bool_or("bad").alias("any_bad")).head()
+    if loads.any_bad:
+        validate.numeric_violations(batch, carry=("load_seq",)).write.mode("append").parquet(findings_path)
+    if loads.newest is None or _current_load(spark, target) >= loads.newest:
         return
-    derive.canonical_plans(load).write.mode("overwrite").parquet(os.path.join(target, f"load_seq={newest}"))
+    rows = batch.where(F.col("load_seq") == loads.newest).drop(CORRUPT)
+    derive.canonical_plans(rows).write.mode("overwrite").parquet(os.path.join(target, f"load_seq={loads.newest}"))
 
 
 def _current_load(spark: SparkSession, target: str) -> int:
@@ -50,26 +56,27 @@ def current_snapshot(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(os.path.join(target, f"load_seq={newest}")).withColumn("load_seq", F.lit(newest).cast("bigint"))
 
 
-def start_ingest(loads: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Run over everything that has arrived, then stop.
+def start_ingest(loads: DataFrame, target: str, checkpoint: str, required: tuple[str, ...] = ()) -> StreamingQuery:
+    """Run over everything that has arrived, then stop; refuses a stream that lacks a required column.
 
     ``loads`` is a streaming DataFrame of plan rows with a ``load_seq``.  Each
     load goes to a folder of its own and is only ever published whole, so a
     repeated batch after a failure writes the same folder again.
     """
+    absent = [c for c in required if c not in loads.columns]
+    if absent:
+        raise ValueError(f"missing columns: {', '.join(absent)}")
     findings = os.path.join(target, "_findings")
     return (
-        loads.writeStream.foreachBatch(lambda batch, i: _replace(batch, i, target, findings))
+        loads.writeStream.foreachBatch(lambda batch, _: _replace(batch, target, findings))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def read_plan_stream(spark: SparkSession, folder: str, columns: tuple[str, ...] = s.REQUIRED_COLUMNS) -> DataFrame:
     """Plan CSV files as they arrive; the load number is the digits that end the file name."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    stream = spark.readStream.schema(schema).options(header=True, multiLine=True, escape='"').csv(folder)
+    schema = ", ".join(f"`{c}` string" for c in (*columns, CORRUPT))
+    stream = spark.readStream.schema(schema).options(
+        header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(folder)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return stream.withColumns({
-        "load_seq": F.regexp_extract(name, r"(\d+)\.csv", 1).try_cast("bigint"),
-        s.ROW: F.monotonically_increasing_id(),
-    })
+    return stream.withColumn("load_seq", F.regexp_extract(name, r"(\d+)\.csv", 1).try_cast("bigint"))
