@@ -40,8 +40,14 @@ def fold_arabic(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    """Matching key of a name: folded, single-spaced, lower-case."""
-    return F.lower(trim_ws(F.regexp_replace(fold_arabic(c), f"{_WS}+", " ")))
+    """Matching key of a name: folded, single-spaced, lower-case.
+
+    One test tells whether a name holds a letter to fold or any inner white
+    space; one that does not needs only trimming and lower case.
+    """
+    trimmed = trim_ws(F.coalesce(c, F.lit("")))
+    folded = F.lower(trim_ws(F.regexp_replace(fold_arabic(c), f"{_WS}+", " ")))
+    return F.when(trimmed.rlike("[هىأإ" + _WS[1:]), folded).otherwise(F.lower(trimmed))
 
 
 def truthy(c: Column) -> Column:

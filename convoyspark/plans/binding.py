@@ -117,11 +117,11 @@ _DIMENSIONS = {
 def _spread(lines: DataFrame, wanted: list[str]) -> DataFrame:
     """Give a file with fewer splits than cores to all cores; a larger one is left as it is.
 
-    Only worth it where rows carry geometry work.  A table of many splits, as
-    on a cluster, is never shuffled here.
+    Not worth it for the row identity alone.  A table of many splits, as on a
+    cluster, is never shuffled here.
     """
     cores = lines.sparkSession.sparkContext.defaultParallelism
-    if not any(name in s.GEOMETRY_COLUMNS for name in wanted) or lines.rdd.getNumPartitions() * 2 > cores:
+    if len(wanted) <= 3 or lines.rdd.getNumPartitions() * 2 > cores:
         return lines
     used = [c for c in lines.columns if c not in ("l_discount", "l_tax")]
     return lines.select(*used).repartition(cores, "l_orderkey", "l_linenumber")
