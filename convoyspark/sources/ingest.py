@@ -10,9 +10,9 @@ from convoyspark.sinks import snapshots as sink
 from convoyspark.sources import files, snapshots
 
 # Data set -> file-name pattern (CSV) or file name (GeoJSON).
-CSV_SETS = {"camps": "assign_camp", "residences": "assign_residences", "simulation": "simulation"}
+CSV_SETS = {"camps": "assign_camp", "residences": "assign_residences", "simulation": "simulation_data_view_v2"}
 EXIT_FILES = {"exit_routes": "MIN_MINASM.geojson", "exit_points": "ExitPoints.geojson"}
-PREFERRED_SIMULATION = "simulation_data_final.csv"
+PREFERRED_SIMULATION = "simulation_data_view_updated.csv"
 
 # What a load may be asked for.
 REQUESTS = {
@@ -33,7 +33,7 @@ def requested_sets(request: str) -> tuple[str, ...]:
     named = REQUESTS.get(request.lower())
     if named is not None:
         return named
-    words = {"camps": ("camp",), "residences": ("residence",), "simulation": ("simulation",)}
+    words = {"camps": ("camp",), "residences": ("residence",), "simulation": ("simulation", "data")}
     return tuple(name for name, marks in words.items() if any(m in request.lower() for m in marks))
 
 
