@@ -20,6 +20,13 @@ from convoyspark.sinks import snapshots as snapshots_sink
 from convoyspark.sources import files, snapshots
 from convoyspark.streaming import ingest
 
+try:
+    from convoyspark.llm import queries as llm
+except ModuleNotFoundError as missing:  # the subpackage and the pipeline may have been removed
+    if not (missing.name or "").startswith(("convoyspark.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -994,8 +1001,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | (llm.ORACLES if llm else {})
