@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
-from .shared import folder
+from . import jaccard, packing, token_files
+from .shared import folder, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -44,3 +50,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-ids")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_files.with_digests(token_files.read(spark, path))
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), words=5, percent=75)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +22,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+_SCRATCH = tempfile.TemporaryDirectory()  # the driver's own; Spark reads the file from here as long as it runs
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the workers, once in an application; Spark serves the file from the driver."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    path = os.path.join(_SCRATCH.name, f"{os.path.basename(package)}-{application}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for at, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
