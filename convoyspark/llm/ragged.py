@@ -33,11 +33,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice ``data[start:end]``; it depends on the bytes alone, never on their place."""
+    """A 64-bit hash of each slice ``data[start:end]`` (bytes or code points); it depends on these alone, never on their place."""
     size = 1 << max(16, int(len(data)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    values = _BYTE[data] if data.dtype == np.uint8 else mix((data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+    np.cumsum(values * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
