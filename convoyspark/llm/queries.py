@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, packing, token_files
+from . import ann, chat, jaccard, lines, mixing, packing, token_files, toxicity, url_filter
 from .shared import folder, ship
 
 QUERIES: dict = {}
@@ -55,3 +55,110 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+TOXIC_INPUT = ("doc_id", "text")
+
+
+@query("op2_toxicity_subword_bags")
+def op2_toxicity_subword_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents").select(*TOXIC_INPUT), table(spark, sf_dir, "labels"))
+
+
+_TEXT_TOKENS = "(ceil(strlen(text) / 4.0) + 8)::BIGINT"
+_ESCAPE = r"regexp_replace({0}, '([<\[])(~*)(/?(?:s>|INST\]))', '\1~\2\3', 'g')"
+
+
+@query("op3_budgeted_chat_windows", rf"""WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ t AS (SELECT *, {_TEXT_TOKENS} AS n, length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')}) + 20 AS chars, row_number() OVER w AS place FROM raw
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ heads AS (SELECT conv_id, any_value(n) AS head_n, any_value(chars) AS head_chars FROM t WHERE place = 1 AND role = 'system' GROUP BY conv_id),
+ s AS (SELECT t.*, coalesce(head_n, 0) AS head_n, coalesce(head_chars, 0) AS head_chars, sum(n) OVER (PARTITION BY t.conv_id ORDER BY place) AS upto,
+  greatest(1, (1024 - 256 - coalesce(head_n, 0)) // 2) AS room FROM t LEFT JOIN heads ON t.conv_id IS NOT DISTINCT FROM heads.conv_id),
+ spans AS (SELECT *, (upto - n) // room AS span FROM s),
+ ends AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS span_end, max(span) OVER (PARTITION BY conv_id) AS last_span FROM spans),
+ sized AS (SELECT conv_id, sum(chars) AS new_chars,
+  sum(CASE WHEN span < last_span AND span_end - (upto - n) <= 256 AND NOT (place = 1 AND role = 'system') THEN chars ELSE 0 END) AS repeated_chars,
+  (count(DISTINCT span) - 1) * any_value(head_chars) AS head_repeats FROM ends GROUP BY conv_id),
+ told AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+ SELECT told.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  (new_chars + repeated_chars + head_repeats)::BIGINT AS formatted_chars
+ FROM told JOIN sized ON told.conv_id IS NOT DISTINCT FROM sized.conv_id""")
+def op3_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql("""SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+     AS t(conv_id, turn, role, text)""")
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.read_back(chat.windows(told, budget=1024, history=256)))
+
+
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+LISTED_HOST = "spam-"
+_HOST = r"lower(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1))"
+_PATH = r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _canonical_sql(url: str) -> str:
+    host, path = _HOST.format(url), _PATH.format(url)
+    params = rf"""list_sort(list_filter(string_split(regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+     lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')))"""
+    return rf"""(regexp_replace({host}, '^www\.', '') || regexp_replace({path}, '/+$', '') ||
+     CASE WHEN len({params}) > 0 THEN '?' || array_to_string({params}, '&') ELSE '' END)"""
+
+
+def _rules_sql() -> str:
+    fits = lambda r: (f"(host = '{r.split('/')[0]}' OR suffix(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')")
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    return ", ".join("CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(v, r)}'" for v, r in ordered) + f" END AS {name}"
+                     for name, what in (("rule", lambda v, r: r), ("ruled", lambda v, r: v)))
+
+
+@query("op4_url_bloom_filter", f"""WITH u AS (SELECT page_id, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_canonical_sql('url')} AS key FROM pages),
+ listed AS (SELECT DISTINCT key FROM u WHERE contains('.' || host, '.{LISTED_HOST}') AND key <> ''), r AS (SELECT *, {_rules_sql()} FROM u)
+ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM r""")
+def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.contains(F.concat(F.lit("."), url_filter.host_of(F.col("url"))), F.lit(f".{LISTED_HOST}"))).select("url")
+    return url_filter.judge(pages, listed, URL_RULES).select("page_id", "_judged.host", "_judged.path", "_judged.rule", "_judged.verdict")
+
+
+@query("op5_site_line_dedup", """WITH l AS (SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+ each AS (SELECT k, source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM l),
+ totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+ bad AS (SELECT each.source, line FROM each JOIN totals ON each.source IS NOT DISTINCT FROM totals.source WHERE line <> ''
+  GROUP BY each.source, line HAVING count(*) >= 5 AND count(*) > 0.05 * any_value(pages)),
+ spots AS (SELECT k, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, source FROM l),
+ kept AS (SELECT k, string_agg(s.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(s.line, ' ') <> '') AS any_left
+  FROM spots s LEFT JOIN bad ON s.source IS NOT DISTINCT FROM bad.source AND trim(s.line, ' ') = bad.line WHERE bad.line IS NULL GROUP BY k)
+ SELECT doc_id, len(lines)::INT AS n_lines, (CASE WHEN any_left THEN len(lines) - n ELSE 0 END)::INT AS dropped_lines,
+  CASE WHEN any_left THEN kept.text ELSE l.text END AS text FROM l LEFT JOIN kept USING (k)""")
+def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.deduplicated(docs, site="source", ratio=0.05, least_pages=5).select(
+        "doc_id", F.col("_lines.all").alias("n_lines"), F.col("_lines.dropped").alias("dropped_lines"), "text")
+
+
+@query("op7_capped_water_filling", r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+ w AS (SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+ v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+  sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+ aims AS (SELECT source, source_size, CASE WHEN cap / w > level THEN w * (SELECT arg_min(level, (cap / w, place)) FROM v WHERE cap / w > level) ELSE cap END AS target FROM v),
+ parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM aims),
+ x AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest FROM d JOIN parts ON d.source IS NOT DISTINCT FROM parts.source),
+ y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, size RANGE UNBOUNDED PRECEDING) <= rest AS drawn FROM x),
+ z AS (SELECT *, rest - coalesce(sum(size) FILTER (WHERE drawn) OVER (PARTITION BY source), 0) AS missing FROM y),
+ e AS (SELECT source, arg_min((h, size), (abs(size - missing), h, size)) AS pick FROM z WHERE NOT drawn AND size > 0 AND abs(size - missing) < missing GROUP BY source)
+ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN drawn OR coalesce((h, size) = pick, false) THEN 1 ELSE 0 END) AS taken
+ FROM z LEFT JOIN e ON z.source IS NOT DISTINCT FROM e.source""")
+def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, seed=7).select(
+        "doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
+@query("op8_learned_partitions")
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, id_column="vec_id", vector_column="embedding")
