@@ -67,7 +67,7 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
+def _signatures(docs: DataFrame, sets_of) -> DataFrame:
     """A row for each document (set size, 128-bit digest, sketch), and rows with each task's counters of n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "n_shingles", "d1", "d2", *SKETCH, "task", "block", "counts"]
@@ -79,7 +79,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
             id_type = batch.column(0).type
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                sets = shingle_sets(part.column(1).to_pylist(), words)
+                sets = sets_of(part.column(1).to_pylist())
                 tokens = np.concatenate(sets)
                 totals += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(totals))
                 d1 = np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)
@@ -130,7 +130,7 @@ def _order(signatures: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, words: int, order: np.ndarray, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, sets_of, order: np.ndarray, percent: int) -> DataFrame:
     """The rarest n-grams of each set, as many as any set similar enough must meet."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, words: int, order: np.ndarray, percent: int) -> D
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 out = []
-                for x in shingle_sets(part.column(1).to_pylist(), words):
+                for x in sets_of(part.column(1).to_pylist()):
                     n = len(x)
                     size = n - -(-n * percent // 100) + 1 if n else 0
                     rank = order[(x >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
@@ -151,14 +151,14 @@ def _prefixes(docs: DataFrame, words: int, order: np.ndarray, percent: int) -> D
     return docs.mapInArrow(cut, f"doc_id {kind}, prefix array<bigint>")
 
 
-def _token_sets(docs: DataFrame, words: int) -> DataFrame:
+def _token_sets(docs: DataFrame, sets_of) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def all_tokens(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                sets = shingle_sets(part.column(1).to_pylist(), words)
+                sets = sets_of(part.column(1).to_pylist())
                 at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
@@ -178,16 +178,17 @@ def _may_link(x: str, y: str, percent: int):
     return length & position & ((100 + percent) * differing <= (100 - percent) * (nx + ny))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the stored, distinct pairs (``x`` < ``y``) whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
+    """Those of the stored, distinct pairs (``x`` < ``y``) whose sets are similar enough and, if asked for, that ``confirm`` keeps."""
     nodes = stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("doc_id"), "nodes")
     few = nodes.count() <= BROADCAST_NODES  # 8 MB of ids at most; beyond that a shuffled join
-    kept = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
-    sets = stored(_token_sets(kept.select("doc_id", "text"), words), "sets")
+    kept = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").select("doc_id", "text")
+    sets = stored(_token_sets(kept, sets_of), "sets")
     left, right = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty")).cast("bigint")
     union = F.size("tx") + F.size("ty") - both
-    return pairs.join(left, "x").join(right, "y").filter(100 * both >= percent * union).select("x", "y").distinct()
+    linked = pairs.join(left, "x").join(right, "y").filter(100 * both >= percent * union).select("x", "y").distinct()
+    return confirm(linked, kept) if confirm else linked
 
 
 def similar(docs: DataFrame, *, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -198,21 +199,27 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 75, id_column: st
     document. Rows with a null id join the component of equal sets (null where there are none with an id). Other columns are
     ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    signatures = stored(_signatures(docs, words), "signatures")
+    found = linked_sets(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")),
+                        lambda texts: shingle_sets(texts, words), percent)
+    return found.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+
+
+def linked_sets(docs: DataFrame, sets_of, percent: int, confirm=None) -> DataFrame:
+    """``doc_id``, set size ``n`` and ``component_id`` for each row of ``docs`` (``doc_id``, ``text``). ``sets_of`` makes sorted distinct
+    64-bit hashes of each of a list of texts; ``confirm(pairs, docs)`` may drop pairs of similar sets that are not to link."""
+    signatures = stored(_signatures(docs, sets_of), "signatures")
     own = signatures.filter("block IS NULL").drop("task", "block", "counts")
     digest = ["n_shingles", "d1", "d2"]
     classes = stored(own.filter("n_shingles > 0").groupBy(*digest, *SKETCH).agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
-    links = _links(docs, signatures, classes, words, percent)
-    found = components(links)
+    found = components(_links(docs, signatures, classes, sets_of, percent, confirm))
     of_class = classes.join(found, "node", "left").select(*digest, F.coalesce("component", "node").alias("_component"))
-    alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = own.filter("n_shingles > 0").join(of_class, digest, "left").select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
-    return full.unionByName(alone).select(F.col("doc_id").alias(id_column), "n_shingles", "component_id")
+    alone = own.filter("n_shingles = 0").select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component_id"))
+    full = own.filter("n_shingles > 0").join(of_class, digest, "left").select("doc_id", F.col("n_shingles").alias("n"), F.col("_component").alias("component_id"))
+    return full.unionByName(alone)
 
 
-def _links(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    prefixes = _prefixes(docs, words, _order(signatures), percent).join(
+def _links(docs: DataFrame, signatures: DataFrame, classes: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
+    prefixes = _prefixes(docs, sets_of, _order(signatures), percent).join(
         classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = prefixes.select(F.col("doc_id").alias("node"), F.posexplode("prefix").alias("pos", "token"))
     group = Window.partitionBy("token")
@@ -223,7 +230,7 @@ def _links(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: in
     near = sized.withColumn("b", F.lag(one).over(group.orderBy("n", "node"))).withColumn("c", F.first(one).over(group.orderBy("pos", "n", "node")))
     first = _pairs(near.withColumn("o", F.explode(F.array("b", "c"))).filter("o.node <> node").select(
         *fields, *(F.col(f"o.{f}").alias(f"y{f}") for f in fields)), "", "y", percent)
-    links = stored(_verified(first, docs, words, percent), "links")
+    links = stored(_verified(first, docs, sets_of, percent, confirm), "links")
     label = components(links)
     tagged = sized.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     spread = tagged.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("token")
@@ -231,7 +238,7 @@ def _links(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: in
     x, y = (tagged.select("token", *(F.col(f).alias(f"{p}{f}") for f in [*fields, "comp"])) for p in ("x", "y"))
     apart = x.join(y, (x["token"] == y["token"]) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", percent))
     rest = _pairs(apart, "x", "y", percent, filtered=True)
-    return links.unionByName(_verified(rest, docs, words, percent))
+    return links.unionByName(_verified(rest, docs, sets_of, percent, confirm))
 
 
 def _pairs(rows: DataFrame, x: str, y: str, percent: int, filtered: bool = False) -> DataFrame:

@@ -7,8 +7,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, jaccard, lines, mixing, packing, token_files, toxicity, url_filter
-from .shared import folder, ship
+from . import ann, audio, chat, jaccard, lines, mixing, packing, token_files, toxicity, url_filter
+from .shared import folder, ship, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,20 @@ def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_learned_partitions")
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, id_column="vec_id", vector_column="embedding")
+
+
+@query("op1_chroma_fingerprints")
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of recordings, so each conversation is sung: every word of its turns in order becomes a sound."""
+    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    recordings = told.select("conv_id", F.array_join("turns.text", " ").alias("audio"))
+    prints = stored(audio.fingerprints(recordings, id_column="conv_id", audio_column="audio", decode=audio.sung), "fingerprints")
+    return audio.same_recordings(prints).withColumnRenamed("doc_id", "conv_id")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
