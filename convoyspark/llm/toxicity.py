@@ -33,19 +33,21 @@ _CUTS[[*range(33), 127, *map(ord, '.,;:!?|()"')]] = True
 
 @dataclass
 class Model:
-    """``worth`` of each embedding along the softmax's axis, and the bias; all that scoring needs."""
+    """``worth`` of each embedding along the softmax's axis, the bias, and the logit of texts without words (that of a usual
+    clean text); all that scoring needs."""
 
     worth: np.ndarray
     bias: float
+    empty: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for start, stop in ragged.blocks(texts, BLOCK_CHARS):
             bag = Bags(texts[start:stop])
-            logits = np.full(stop - start, self.bias)
+            logits = np.full(stop - start, self.empty)
             if len(bag.words):
                 docs = np.flatnonzero(np.diff(bag.doc_words))
-                logits[docs] += np.maximum.reduceat(_averages(self.worth, bag)[bag.words], bag.doc_words[docs])
+                logits[docs] = self.bias + np.maximum.reduceat(_averages(self.worth, bag)[bag.words], bag.doc_words[docs])
             out[start:stop] = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
         return out
 
@@ -100,7 +102,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(BUCKETS), 5.0 if toxic.any() else -5.0)
+        return Model(np.zeros(BUCKETS), *[5.0 if toxic.any() else -5.0] * 2)
     rng = np.random.default_rng(seed)
     bag = Bags(texts)
     size = np.diff(bag.id_at)
@@ -152,7 +154,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     z = _averages(worth, bag)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, doc_of, z[word_of])
-    return Model(worth, float(-_cut(top[back & np.isfinite(top)], toxic[back & np.isfinite(top)], -bias)))
+    known = back & np.isfinite(top)
+    cut = _cut(top[known], toxic[known], -bias)
+    usual = top[np.isfinite(top) & ~toxic]
+    return Model(worth, float(-cut), min(-0.01, float(np.median(usual) - cut)) if len(usual) else -1.0)
 
 
 def _averages(worth: np.ndarray, bag: Bags) -> np.ndarray:
@@ -193,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_score`` (0 to 1) of the whole ``text``. Null and empty texts get the bias alone."""
+    """All columns of ``docs`` and ``_score`` (0 to 1) of the whole ``text``. Null and empty texts score like a usual clean text."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles, whatever the corpus
     names, place = docs.columns, docs.columns.index("text")
 
