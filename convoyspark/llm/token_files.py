@@ -204,17 +204,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_column:
     """
 
     def code(batches):
-        encoder, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, file = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         names, counts, flats, held, block, done = [], [], [], 0, 0, 0
 
         def emit():
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()),
+                [pa.array([file], pa.int32()), pa.array([block], pa.int32()),
                  pa.array([frame(names, np.concatenate(counts), np.concatenate(flats), done)], pa.binary()), pa.array([held], pa.int64())],
                 ["file", "block", "frame", "n_ids"])
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part in (batch.slice(i, 512) for batch in batches for i in range(0, batch.num_rows, 512)):
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for start, stop in ragged.blocks(texts, BLOCK_IDS // 2):
                 flat, n = encoder.encode(texts[start:stop])
                 names += ids[start:stop]

@@ -10,21 +10,24 @@ texts go through the library whole.
 from __future__ import annotations
 
 import functools
-import json
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from . import ragged
 
-BLOCK_CHARS = 1 << 20
-MEMO_SLOTS = 1 << 22
+BLOCK_CHARS = 1 << 18
+MEMO_SLOTS = 1 << 21
 LETTER, NUMBER, OTHER, WHITE, BAD = range(5)
 # The splitting patterns of the two public tokenizer files that can be followed with array operations.
-BYTE_PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+BYTE_RULE = ("None", "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)")
+WORD_RULE = (
+    'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])',
+    """Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), """
+    "behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])",
+)
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -101,10 +104,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            config = json.load(f)
-        self.special = [t["content"] for t in config["added_tokens"]]
-        self.rule = _rule(config)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.rule = _rule(self.library)
         self.letters = _byte_letters()
         self.memo = Memo()
 
@@ -162,18 +163,12 @@ class Encoder:
         return np.concatenate([*pieces, flat[last:]]), counts
 
 
-def _rule(config: dict) -> str | None:
-    """Which of the known splitting patterns a tokenizer file has, if any."""
-    normalizer, cut = config.get("normalizer"), config.get("pre_tokenizer") or {}
-    if config["model"]["type"] != "BPE" or config["model"].get("ignore_merges"):
+def _rule(library: Tokenizer) -> str | None:
+    """Which of the known ways to cut texts a tokenizer has, if any."""
+    if not isinstance(library.model, BPE) or library.model.dropout or library.model.ignore_merges:
         return None
-    if normalizer is None and cut == BYTE_PATTERN:
-        return "byte"
-    steps = cut.get("pretokenizers", [{}])
-    same = [n["type"] for n in (normalizer or {}).get("normalizers", [])] == WORD_NORMALIZERS
-    if same and steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("invert") and steps[-1].get("use_regex") is False:
-        return "word"
-    return None
+    steps = (repr(library.normalizer), repr(library.pre_tokenizer))
+    return {BYTE_RULE: "byte", WORD_RULE: "word"}.get(steps)
 
 
 def _pretokens(data: np.ndarray, kind: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
