@@ -142,15 +142,15 @@ def plan_residence(spark, sf):
  timing_end_at AS ends_at, number_of_buses AS buses, trips, coalesce({o.filled('plan_type_name', 'plan_type_code')}, '{s.UNKNOWN}') AS plan_type,
  coalesce(nullif(transport_type_name, ''), '{s.UNKNOWN}') AS transport, number_of_haj AS pilgrims, coalesce(period, '') AS period,
  coalesce(nullif(start_point_name, ''), '{s.NOT_AVAILABLE}') AS from_point, coalesce(nullif(end_point_name, ''), '{s.NOT_AVAILABLE}') AS to_point,
- coalesce(owner_office_number, '') AS center, _row, _sub FROM p ORDER BY _row, _sub LIMIT 50""")
+ coalesce(owner_office_number, '') AS center, _row, _sub FROM p""")
 def plan_list(spark, sf):
-    return sampling.first_plans(_plans(
+    return derive.plan_list(_plans(
         spark, sf, "plan_id", *OWNER, *LOAD, *TYPE, "timing_start_at", "timing_end_at", "period", "start_point_name", "end_point_name"))
 
 
 @query("plans_beyond_list", "SELECT greatest(count(*) - 50, 0) AS more FROM lineitem")
 def plans_beyond_list(spark, sf):
-    return sampling.plans_beyond_list(_plans(spark, sf))
+    return sampling.plans_beyond_list(_plans(spark, sf), 50)
 
 
 @query("camera_details", f"WITH {o._CAMERAS} " + """SELECT name, latitude, longitude, altitude,
@@ -179,11 +179,15 @@ def filter_base(spark, sf):
     return _ids(filters.filter_base(df, PlanFilter(path="No Path", district="حى BUILDING", period="3", transport="ترددي")))
 
 
+_BY_CODE, _BY_NAME = ('E0', '30/19'), ('مدخل Brand#12', '14/12')  # an entrance that has only its code, and one with a name; each with a camp
+
+
 @query("filter_entrance_camp", o.PLANS + f"""SELECT plan_id, _sub FROM p
- WHERE coalesce({o.filled('entrance_name', 'entrance_asm_code')}, 'No Entrance') = 'E0' AND trim(camp_label) = '10/7'""")
+ WHERE (coalesce({o.filled('entrance_name', 'entrance_asm_code')}, 'No Entrance'), trim(camp_label)) IN ({_BY_CODE}, {_BY_NAME})""")
 def filter_entrance_camp(spark, sf):
     df = _plans(spark, sf, "plan_id", *ENTRANCE, "camp_label")
-    return _ids(filters.filter_base(df, PlanFilter(entrance="E0", camp_label="10/7")))
+    code, name = (filters.filter_base(df, PlanFilter(entrance=e, camp_label=c)) for e, c in (_BY_CODE, _BY_NAME))
+    return _ids(code.unionByName(name))
 
 
 @query("filter_search", o.PLANS + """SELECT plan_id, _sub FROM p WHERE contains(lower(coalesce(owner_company_name, '') || ' ' ||
@@ -299,13 +303,13 @@ def entrance_period(spark, sf):
     return breakdowns.entrance_period(_plans(spark, sf, *LOAD, "period", *ENTRANCE), "buses")
 
 
-_MONTHS = [str(m) for m in range(1, 13)]
+_PERIODS = [*(str(m) for m in range(1, 13)), s.UNKNOWN]
 
 
 @query("entrance_period_matrix", o.PLANS + "SELECT entrance_l AS entrance, " + ", ".join(
-    f"coalesce(sum(pilgrims) FILTER (WHERE period_l = '{m}'), 0.0) AS \"{m}\"" for m in _MONTHS) + " FROM p GROUP BY 1")
+    f"coalesce(sum(pilgrims) FILTER (WHERE period_l = '{m}'), 0.0) AS \"{m}\"" for m in _PERIODS) + " FROM p GROUP BY 1")
 def entrance_period_matrix(spark, sf):
-    return breakdowns.entrance_period_matrix(_plans(spark, sf, *HAJ, "period", *ENTRANCE), _MONTHS)
+    return breakdowns.entrance_period_matrix(_plans(spark, sf, *HAJ, "period", *ENTRANCE), _PERIODS)
 
 
 @query("breakdowns_gs", o.PLANS + """SELECT 'period' AS dimension, period_l AS label, NULL AS period, sum(trips) AS value FROM p GROUP BY 2
@@ -425,11 +429,10 @@ def completion_by_center(spark, sf):
 
 
 @query("available_labels", o.PLANS + f""", l AS (SELECT plan_type_name AS label, first(plan_type_code ORDER BY _row, plan_type_code NULLS FIRST) AS code FROM p
- WHERE plan_type_name <> '' AND plan_type_name <> 'إفاضة' GROUP BY 1 UNION ALL SELECT 'نفرة', 'nafra' UNION ALL SELECT 'إفاضة', 'efada')
+ WHERE plan_type_name <> '' GROUP BY 1 UNION ALL SELECT 'نفرة', 'nafra')
  SELECT label, code, CAST({o.rank_of(o.plan_class(o.filled('code', 'label')))} AS INT) AS rank FROM l""")
 def available_labels(spark, sf):
-    base = _plans(spark, sf, *TYPE).where("coalesce(plan_type_name, '') <> 'إفاضة'")
-    return assignments.available_labels(base, PlanFilter(plan_types=frozenset(["نفرة", "إفاضة", "تروية"])))
+    return assignments.available_labels(_plans(spark, sf, *TYPE), PlanFilter(plan_types=frozenset(["نفرة", "إفاضة", "تروية"])))
 
 
 @query("completion_ring", _COMPLETION_SQL + f""", l AS (SELECT DISTINCT plan_type_name AS label FROM p WHERE plan_type_name <> '' UNION SELECT 'نفرة'),
@@ -641,13 +644,16 @@ def center_options(spark, sf):
  SELECT plan_id, _sub, plan_type_code FROM n JOIN k USING (type_code)
  WHERE number <= 300 // types + CASE WHEN rank <= 300 - (300 // types) * types THEN 1 ELSE 0 END OR (SELECT count(*) FROM p) <= 300""")
 def stratified_sample(spark, sf):
-    return sampling.map_rows(_plans(spark, sf, "plan_id", "plan_type_code"), PlanFilter()).select("plan_id", s.SUB, "plan_type_code")
+    return sampling.stratified_sample(_plans(spark, sf, "plan_id", "plan_type_code"), 300).select("plan_id", s.SUB, "plan_type_code")
 
 
 @query("dq_missing_columns", "SELECT 'missing column' AS \"check\", CAST(NULL AS BIGINT) AS \"row\", unnest(['path_name', 'timing_start_at_hijri', 'timing_end_at_hijri']) AS \"column\", CAST(NULL AS VARCHAR) AS value")
 def dq_missing_columns(spark, sf):
+    """Headers of the files that the plans are written to, without one of the required columns."""
     bound = [c for c in s.REQUIRED_COLUMNS if c in binding.PLAN_COLUMNS and c != "path_name"]
-    return validate.missing_columns(_plans(spark, sf, *bound))
+    path = _folder(spark, "headers")
+    _plans(spark, sf, *bound).drop(s.ROW, s.SUB).write.options(header=True, escape='"').csv(path)
+    return files.header_report(spark, path).select("check", "row", "column", F.lit(None).cast("string").alias("value")).distinct()
 
 
 @query("dq_numeric", o.PLANS + """SELECT 'not numeric' AS "check", _row AS "row", 'number_of_buses' AS "column", path_name || ' ' || l_linenumber AS value FROM p WHERE l_linenumber = 6 AND path_name IS NOT NULL
@@ -908,18 +914,18 @@ def camera_stats(spark, sf):
 @query("gates_near_plans", f"{o.PLANS}, {o._SHAPES}, {o._GATES}, {o._near('gates', 'gate_id')} "
        "SELECT gate_id, source, capacity, longitude, latitude FROM gates WHERE gate_id IN (SELECT pid FROM near)")
 def gates_near_plans(spark, sf):
-    return proximity.points_near_plans(_plans(spark, sf, "plan_id", *TYPE, *SHAPES), binding.gates(spark, sf), "gate_id")
+    return proximity.points_near_plans(_plans(spark, sf, "plan_id", *TYPE, *SHAPES), binding.gates(spark, sf), "gate_id", all_without_geometry=False)
 
 
 @query("cameras_near_plans", f"{_NEAR_CAMERAS} SELECT name FROM cameras WHERE name IN (SELECT pid FROM near)")
 def cameras_near_plans(spark, sf):
-    return proximity.points_near_plans(_plans(spark, sf, "plan_id", *TYPE, *SHAPES), binding.cameras(spark, sf), "name").select("name")
+    return proximity.points_near_plans(_plans(spark, sf, "plan_id", *TYPE, *SHAPES), binding.cameras(spark, sf), "name", all_without_geometry=True).select("name")
 
 
 @query("gates_without_geometry", f"WITH {o._GATES} SELECT gate_id FROM gates")
 def gates_without_geometry(spark, sf):
-    none = _plans(spark, sf, "plan_id", *TYPE, "end_point_geom").where("end_point_geom = '{bad'")
-    return proximity.points_near_plans(none, binding.gates(spark, sf), "gate_id").select("gate_id")
+    broken = _plans(spark, sf, "plan_id", *TYPE, *SHAPES).withColumns({c: F.concat(F.lit("{"), c) for c in SHAPES})
+    return proximity.points_near_plans(broken, binding.gates(spark, sf), "gate_id", all_without_geometry=True).select("gate_id")
 
 
 @query("camera_direction", f"""{_NEAR_CAMERAS}, {_PASSING},
@@ -963,7 +969,9 @@ def plans_csv(spark, sf):
         "plan_id", *OWNER, "camp_label", *ALLOC, "number_of_buses", "period", "internal_path")
 
 
-@query("camera_stats_csv")
+@query("camera_stats_csv", f"""SELECT camera, plan_type, transport, company, center, CASE WHEN buses = floor(buses) THEN CAST(CAST(buses AS BIGINT) AS VARCHAR)
+ ELSE CAST(buses AS VARCHAR) END AS buses, CASE WHEN trips = floor(trips) THEN CAST(CAST(trips AS BIGINT) AS VARCHAR) ELSE CAST(trips AS VARCHAR) END AS trips
+ FROM ({_ORACLES['camera_stats']}) WHERE level = 'group'""")
 def camera_stats_csv(spark, sf):
     path = _folder(spark, "camera-stats")
     stats = proximity.camera_stats(_plans(spark, sf, "plan_id", *OWNER, *LOAD, *TYPE, *SHAPES), binding.cameras(spark, sf))

@@ -86,6 +86,9 @@ def finite_or_zero(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key that orders digit runs by value: every run is zero-padded to 20."""
-    padded = F.regexp_replace(c, r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
+    """Sort key that orders digit runs of any length by value: each run without leading zeros, after its length."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
+    between = F.split(c, r"\d+")
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, r"^0+(?=\d)", ""))
+    sized = F.transform(bare, lambda r: F.concat(F.lpad(F.length(r).cast("string"), 10, "0"), r))
+    return F.array_join(F.zip_with(between, sized, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -168,7 +168,7 @@ def with_layers(df: DataFrame, flt: PlanFilter, mix: DataFrame | None = None) ->
 
 
 def base_or_all(base: DataFrame, plans: DataFrame) -> DataFrame:
-    """The base layer, or all plans when it is empty."""
+    """The base layer, or all plans when it is empty; for callers that want this fallback."""
     return base.unionByName(plans.where(base.limit(1).agg(F.count(F.lit(1))).scalar() == 0))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from convoyspark.functions import text as t
 from convoyspark.operators import derive as d
 from convoyspark.operators.entities import entity_catalog
-from convoyspark.operators.filters import PlanFilter
 from convoyspark.plans import schema as s
 
 
@@ -54,7 +53,7 @@ def center_options(plans: DataFrame, company: str | None = None) -> DataFrame:
     return centers.where(F.col("value").startswith(company)) if company else centers
 
 
-def stratified_sample(df: DataFrame, limit: int = s.MAP_ROWS) -> DataFrame:
+def stratified_sample(df: DataFrame, limit: int) -> DataFrame:
     """First rows of every plan type, ``limit`` in all; everything if there are no more than that.
 
     Each type gets ``limit // types`` rows and the types met first share the
@@ -78,16 +77,11 @@ def stratified_sample(df: DataFrame, limit: int = s.MAP_ROWS) -> DataFrame:
     return sample.drop("type_", "number_", "quota_")
 
 
-def map_rows(filtered: DataFrame, flt: PlanFilter, limit: int = s.MAP_ROWS) -> DataFrame:
-    """Rows for the map: all of them once a filter narrows them, else the stratified sample."""
-    return filtered if flt.narrows_map else stratified_sample(filtered, limit)
-
-
-def first_plans(filtered: DataFrame, rows: int = s.PLAN_LIST_ROWS) -> DataFrame:
+def first_plans(filtered: DataFrame, rows: int) -> DataFrame:
     """First plans in source order, for the plan list (a distributed top-k)."""
     return d.plan_list(filtered).orderBy(*_order(filtered)).limit(rows)
 
 
-def plans_beyond_list(filtered: DataFrame, rows: int = s.PLAN_LIST_ROWS) -> DataFrame:
+def plans_beyond_list(filtered: DataFrame, rows: int) -> DataFrame:
     """How many plans the list leaves out."""
     return filtered.agg(F.greatest(F.count(F.lit(1)) - rows, F.lit(0)).alias("more"))

@@ -82,10 +82,6 @@ FILTER_NO_ENTRANCE = "No Entrance"
 FILTER_NO_PATH = "No Path"
 FILTER_NO_DISTRICT = "No District"
 
-# Row budgets of the plan list and of the unfiltered map.
-PLAN_LIST_ROWS = 50
-MAP_ROWS = 300
-
 # ---------------------------------------------------------------------------
 
 #: Text columns that may hold a geometry (WKT or GeoJSON).

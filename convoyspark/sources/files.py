@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
@@ -38,37 +40,73 @@ def _or_empty(spark: SparkSession, read, schema: str, strict: bool) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-def _with_row(df: DataFrame) -> DataFrame:
+#: Lines of a file that may belong to its header, whose quoted cells may hold line breaks.
+HEADER_LINES = 16
+_FIRST_RECORD = r"""^\uFEFF?((?:"(?:[^"]|"")*"|[^"\r\n])*)"""
+_CELLS = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file: ``file`` and the cells of its header in order, white space tidied.
+
+    Only lines of a file's first block are looked at, and no more than the first few of them are shuffled.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.where("at = 0").withColumn("i", F.monotonically_increasing_id())
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("i"))).where(F.col("nth") <= HEADER_LINES)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), "\n")
+    record = F.regexp_extract(text, _FIRST_RECORD, 1)
+    bare = lambda c: F.trim(F.regexp_replace(F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), r"\s+", " "))
+    return first.groupBy("file").agg(F.transform(F.regexp_extract_all(record, F.lit(_CELLS), F.lit(1)), bare).alias("cells"))
+
+
+def header_report(spark: SparkSession, path: str, required: tuple[str, ...] = s.REQUIRED_COLUMNS) -> DataFrame:
+    """Required columns that a file's header lacks, in any order and also under their human headings; a row per file and column."""
+    has = lambda c: F.array_contains("cells", c) | F.array_contains("cells", s.PLAN_ALIASES.get(c, c))
+    absent = F.array_compact(F.array(*[F.when(~has(c), F.lit(c)) for c in required]))
+    return headers(spark, path).select(
+        F.lit("missing column").alias("check"), F.lit(None).cast("bigint").alias("row"), F.explode(absent).alias("column"),
+        F.element_at(F.split("file", "/"), -1).alias("value"))
+
+
+def _with_row(df: DataFrame, ranks: DataFrame | None) -> DataFrame:
     """Add ``_row``: position in the source, files in order of their names.
 
     A multi-line file is never split, so the position within a partition grows
     along each file; the file's rank goes in front of it.
     """
-    files = sorted(df.inputFiles())
     within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    if len(files) <= 1:
+    if ranks is None:
         return df.withColumn(s.ROW, within)
-    spark = df.sparkSession
-    ranks = spark.createDataFrame([(name, i) for i, name in enumerate(files)], "file_ string, rank_ bigint")
-    placed = df.withColumns({"file_": F.input_file_name(), "within_": within})
+    placed = df.withColumns({"file_": F.col("_metadata.file_path"), "within_": within})
     joined = placed.join(ranks, "file_", "left")
-    return joined.withColumn(s.ROW, F.coalesce("rank_", F.lit(0)) * F.lit(1 << 33) + F.col("within_")).drop("file_", "rank_", "within_")
+    rank = F.coalesce("rank_", F.raise_error(F.concat(F.lit("no rank for file "), "file_")).cast("bigint"))
+    return joined.withColumn(s.ROW, rank * F.lit(1 << 33) + F.col("within_")).drop("file_", "rank_", "within_")
 
 
-def read_csv(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], corrupt: bool = False) -> DataFrame:
     """All-text CSV: quoted cells may hold line breaks, blank cells are null.
 
-    The header gives the columns, in any order.  With ``corrupt``, rows of the
-    wrong width keep their text in a column of that name.  ``multiLine`` makes
+    Columns go by the name in each file's own header, in any order; files with the same header are read together.
+    With ``corrupt``, rows of the wrong width keep their text in a column of that name.  ``multiLine`` makes
     one task per file, so large inputs should come as many files.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    plain = spark.read.options(**options).csv(path)
-    if not corrupt:
-        return _with_row(plain)
-    fields = [StructField(c, StringType()) for c in plain.columns] + [StructField(CORRUPT, StringType())]
-    checked = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(StructType(fields)).csv(path)
-    return _with_row(checked)
+    if not corrupt and len(spark.read.text(path).inputFiles()) <= 1:
+        return _with_row(spark.read.options(**options).csv(path), None)
+    found = headers(spark, path).groupBy("cells").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    if not found:  # files without a line
+        return _with_row(spark.read.options(**options).csv(path), None)
+    names = sorted(f for row in found for f in row.files)
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(names)], "file_ string, rank_ bigint")
+    parts = []
+    for row in sorted(found, key=lambda r: r.files[0]):
+        plain = spark.read.options(**options).csv(row.files)
+        if corrupt:
+            fields = [StructField(c, StringType()) for c in plain.columns] + [StructField(CORRUPT, StringType())]
+            plain = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(StructType(fields)).csv(row.files)
+        parts.append(_with_row(plain, ranks if len(names) > 1 else None))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def read_plans(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

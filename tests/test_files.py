@@ -96,3 +96,54 @@ def test_stream_keeps_the_newest_valid_load(spark, tmp_path):
     assert load(6, "many") == "5"
     assert load(4, 1) == "5"
     assert load(7, 2) == "7"
+    findings = stream.findings(spark, target).collect()
+    assert [(r.check, r.column, r.load_seq) for r in findings] == [("not numeric", "number_of_buses", 6)]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write(folder / "a.csv", "plan_id,period,number_of_haj\np1,4,20\n")
+    write(folder / "b.csv", "number_of_haj,plan_id,period\n30,p2,5\n")
+    write(folder / "c.csv", '"ID","Period\n","Number of ""haj"""\np3,6,7\n')
+    got = files.read_plans(spark, str(folder)).orderBy("_row").collect()
+    assert [(r.plan_id, r.period, r.number_of_haj) for r in got][:2] == [("p1", "4", 20.0), ("p2", "5", 30.0)]
+    assert [r._row >> 33 for r in got] == [0, 1, 2] and got[2].plan_id == "p3"
+    cells = {r.file.rsplit("/", 1)[1]: r.cells for r in files.headers(spark, str(folder)).collect()}
+    assert cells["c.csv"] == ["ID", "Period", 'Number of "haj"']
+    missing = {(r.value, r.column) for r in files.header_report(spark, str(folder), ("period", "plan_id", "path_name")).collect()}
+    assert missing == {(f, "path_name") for f in cells}
+
+
+def test_stream_reads_by_name_and_reports_unnumbered_files(spark, tmp_path):
+    folder, target = tmp_path / "arrivals", str(tmp_path / "plans")
+    folder.mkdir()
+    columns = list(reversed(s.REQUIRED_COLUMNS))
+    write(folder / "plans_3.csv", plan_csv(columns, plan_id="P9", camp_label="1/608"))
+    write(folder / "plans.csv", plan_csv(plan_id="unnumbered"))
+    write(folder / "plans_4.csv", plan_csv([c for c in columns if c != "period"], plan_id="P10"))
+    write(folder / "plans_5.csv", plan_csv(plan_id="P11").rstrip("\n") + ",one more\n")
+    stream.start_ingest(stream.read_plan_stream(spark, str(folder)), target, str(tmp_path / "cp"), s.REQUIRED_COLUMNS).awaitTermination()
+    row = stream.current_snapshot(spark, target).head()
+    assert (row.plan_id, row.camp_label, row.load_seq) == ("P9", "1/608", 3)
+    found = {(r.check, r.column, r.load_seq) for r in stream.findings(spark, target).collect()}
+    assert found == {("no load number", None, None), ("missing column", "period", 4), ("row width", None, 5)}
+
+
+def test_publish_from_the_current_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sink.publish(spark.range(3), path, "a")
+    sink.publish(sink.current(spark, path).select("id").where("id > 0"), path, "b")
+    assert sorted((r.id, r.source_file) for r in sink.current(spark, path).collect()) == [(1, "b"), (2, "b")]
+    sink.clear(spark.range(3), path)
+    assert sink.current(spark, path).count() == 0
+
+
+def test_natural_order_of_long_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from convoyspark.functions import text as t
+
+    values = ["7", "a2", "a10", "1" * 25, "a02b", "007x", "", "x", "9" * 19]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v string").orderBy(t.natural_key(F.col("v")), "v").collect()]
+    assert got == ["", "7", "007x", "9" * 19, "1" * 25, "a2", "a02b", "a10", "x"]

@@ -49,7 +49,7 @@ def test_twenty_metres(spark):
 
 def test_no_geometry_keeps_every_point(spark):
     points = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0)], "name string, longitude double, latitude double")
-    assert proximity.points_near_plans(plan(spark, internal_path="{bad"), points, "name").count() == 2
+    assert proximity.points_near_plans(plan(spark, internal_path="{bad"), points, "name", all_without_geometry=True).count() == 2
 
 
 def _brute(line, lon, lat):
