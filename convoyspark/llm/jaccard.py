@@ -8,7 +8,8 @@ from below by the differing bits of their parity sketches.
 
 Not all pairs of a large group are listed. First every node is compared with its neighbour and with the most central node in each
 n-gram's group, and what is linked becomes one component; then all remaining pairs *between* components are compared. So large
-groups of near copies cost about their size, and no link that would join two components is lost.
+groups of near copies cost about their size, and no link that would join two components is lost. Pairs are distinct before
+sketches are looked up, and only what passes them has its sets compared, once.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .shared import stored
 COUNTER_BITS = 20
 COUNTERS_PER_ROW = 1 << 16
 SKETCH_LONGS = 8
+MOST_SKETCH_BITS = 20
 FAN_IN = 256
-BROADCAST_NODES = 1 << 20
+BROADCAST_ROWS = 1 << 20
 BLOCK_CHARS = 1 << 20
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 _PLACE = ragged.mix(np.arange(1001, 1129, dtype=np.uint64)) | np.uint64(1)
@@ -61,16 +63,30 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Bit b is the parity of the number of tokens that fall on b, so differing bits never exceed differing tokens."""
-    at = (ragged.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) % np.uint64(64 * SKETCH_LONGS)
-    bits = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Bit b is the parity of the number of tokens that fall on b, so differing bits never exceed differing tokens. Larger sets
+    have more bits; halves can be folded together."""
+    bits = 1 << min(MOST_SKETCH_BITS, max(6 + SKETCH_LONGS.bit_length() - 1, (4 * len(tokens)).bit_length()))
+    at = ragged.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
 
 
 def _signatures(docs: DataFrame, sets_of) -> DataFrame:
     """A row for each document (set size, 128-bit digest, sketch), and rows with each task's counters of n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "n_shingles", "d1", "d2", *SKETCH, "task", "block", "counts"]
+    columns = ["doc_id", "n_shingles", "d1", "d2", "sketch", *SKETCH, "task", "block", "counts"]
 
     def measure(batches):
         totals = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -84,22 +100,23 @@ def _signatures(docs: DataFrame, sets_of) -> DataFrame:
                 totals += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(totals))
                 d1 = np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 d2 = np.array([ragged.mix(x ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for x in sets]).view(np.int64)
-                bits = np.array([_sketch(x) for x in sets])
+                sketches = [_sketch(x) for x in sets]
+                bits = np.array([_folded(x, 8 * SKETCH_LONGS) for x in sketches]).view(np.int64)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1), pa.array(d2),
-                     *(pa.array(bits[:, j]) for j in range(SKETCH_LONGS)),
+                     pa.array([x.tobytes() for x in sketches], pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH_LONGS)),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], columns)
         if id_type is None:
             return
         for block in range(0, len(totals), COUNTERS_PER_ROW):
             raw = _packed(totals[block : block + COUNTERS_PER_ROW])
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, id_type), *(pa.nulls(1, pa.int64()) for _ in range(3 + SKETCH_LONGS)),
+                [pa.nulls(1, id_type), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int64()) for _ in SKETCH),
                  pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], columns)
 
     sketch = ", ".join(f"{c} bigint" for c in SKETCH)
-    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, {sketch}, task int, block int, counts binary")
+    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, {sketch}, task int, block int, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -138,17 +155,19 @@ def _prefixes(docs: DataFrame, sets_of, order: np.ndarray, percent: int) -> Data
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                out = []
+                out, sizes = [], []
                 for x in sets_of(part.column(1).to_pylist()):
                     n = len(x)
+                    sizes.append(n)
                     size = n - -(-n * percent // 100) + 1 if n else 0
                     rank = order[(x >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                     out.append(x[np.argsort(rank, kind="stable")[:size]].view(np.int64))  # x is sorted: ties in hash order
                 at = np.concatenate(([0], np.cumsum([len(x) for x in out])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out)))], ["doc_id", "prefix"])
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out))),
+                     pa.array(sizes, pa.int64())], ["doc_id", "prefix", "n"])
 
-    return docs.mapInArrow(cut, f"doc_id {kind}, prefix array<bigint>")
+    return docs.mapInArrow(cut, f"doc_id {kind}, prefix array<bigint>, n bigint")
 
 
 def _token_sets(docs: DataFrame, sets_of) -> DataFrame:
@@ -178,11 +197,33 @@ def _may_link(x: str, y: str, percent: int):
     return length & position & ((100 + percent) * differing <= (100 - percent) * (nx + ny))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
-    """Those of the stored, distinct pairs (``x`` < ``y``) whose sets are similar enough and, if asked for, that ``confirm`` keeps."""
-    nodes = stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("doc_id"), "nodes")
-    few = nodes.count() <= BROADCAST_NODES  # 8 MB of ids at most; beyond that a shuffled join
-    kept = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").select("doc_id", "text")
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has at most ``BROADCAST_ROWS`` of them; beyond that joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select("x").union(pairs.select("y")).distinct().toDF("doc_id"), "ends")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
+    """Those of the stored, distinct pairs (``x`` < ``y``) whose sets are similar enough and, if asked for, that ``confirm`` keeps.
+    Sketches go first; sets are made again only for what passes them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def near(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            most = ((100 - percent) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())).tolist()
+            rows = [i for i, limit in enumerate(most) if (100 + percent) * _differing(a[i], b[i]) <= limit]
+            yield batch.select(["x", "y"]).take(pa.array(rows, pa.int64()))
+
+    own = classes.join(_few(_ends(pairs)), F.col("node") == F.col("doc_id"), "left_semi")
+    left = own.select(F.col("node").alias("x"), F.col("n_shingles").alias("m"), F.col("sketch").alias("a"))
+    right = own.select(F.col("node").alias("y"), F.col("n_shingles").alias("n"), F.col("sketch").alias("b"))
+    sized = pairs.join(left, "x").join(right, "y").select("x", "y", "m", "n", "a", "b")
+    pairs = stored(sized.filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).mapInArrow(near, f"x {kind}, y {kind}").distinct(), "near")
+    kept = docs.join(_few(_ends(pairs)), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(_token_sets(kept, sets_of), "sets")
     left, right = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty")).cast("bigint")
@@ -210,38 +251,36 @@ def linked_sets(docs: DataFrame, sets_of, percent: int, confirm=None) -> DataFra
     signatures = stored(_signatures(docs, sets_of), "signatures")
     own = signatures.filter("block IS NULL").drop("task", "block", "counts")
     digest = ["n_shingles", "d1", "d2"]
-    classes = stored(own.filter("n_shingles > 0").groupBy(*digest, *SKETCH).agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
-    found = components(_links(docs, signatures, classes, sets_of, percent, confirm))
+    classes = stored(own.filter("n_shingles > 0").groupBy(*digest).agg(
+        F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), *(F.first(c).alias(c) for c in SKETCH)).filter("node IS NOT NULL"), "classes")
+    found = components(_links(docs, own, signatures, classes, sets_of, percent, confirm))
     of_class = classes.join(found, "node", "left").select(*digest, F.coalesce("component", "node").alias("_component"))
     alone = own.filter("n_shingles = 0").select("doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component_id"))
     full = own.filter("n_shingles > 0").join(of_class, digest, "left").select("doc_id", F.col("n_shingles").alias("n"), F.col("_component").alias("component_id"))
     return full.unionByName(alone)
 
 
-def _links(docs: DataFrame, signatures: DataFrame, classes: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
-    prefixes = _prefixes(docs, sets_of, _order(signatures), percent).join(
-        classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = prefixes.select(F.col("doc_id").alias("node"), F.posexplode("prefix").alias("pos", "token"))
+def _links(docs: DataFrame, own: DataFrame, signatures: DataFrame, classes: DataFrame, sets_of, percent: int, confirm) -> DataFrame:
+    nodes = classes.select(F.col("node").alias("doc_id")).distinct()
+    copies = stored(own.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(nodes, "doc_id", "left_anti"), "copies")
+    singles = docs.filter("doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti")
+    prefixes = _prefixes(singles.select("doc_id", "text"), sets_of, _order(signatures), percent)
+    rows = prefixes.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     group = Window.partitionBy("token")
-    met = stored(rows.withColumn("_n", F.count("*").over(group)).filter("_n > 1").drop("_n"), "shared")
-    sized = met.join(classes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node")
-    fields = ["node", "n", "pos", *SKETCH]
-    one = F.struct(*fields)
-    near = sized.withColumn("b", F.lag(one).over(group.orderBy("n", "node"))).withColumn("c", F.first(one).over(group.orderBy("pos", "n", "node")))
-    first = _pairs(near.withColumn("o", F.explode(F.array("b", "c"))).filter("o.node <> node").select(
-        *fields, *(F.col(f"o.{f}").alias(f"y{f}") for f in fields)), "", "y", percent)
-    links = stored(_verified(first, docs, sets_of, percent, confirm), "links")
-    label = components(links)
-    tagged = sized.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    spread = tagged.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("token")
-    tagged = stored(tagged.join(spread, "token", "left_semi"), "between")
-    x, y = (tagged.select("token", *(F.col(f).alias(f"{p}{f}") for f in [*fields, "comp"])) for p in ("x", "y"))
+    met = rows.withColumn("_n", F.count("*").over(group)).filter("_n > 1").drop("_n")
+    met = met.withColumn("b", F.lag("node").over(group.orderBy("n", "node"))).withColumn("c", F.first("node").over(group.orderBy("pos", "n", "node")))
+    met = stored(met, "shared")
+    first = _pairs(met.select("node", F.explode(F.array("b", "c")).alias("other")), "node", "other")
+    links = stored(_verified(first, docs, classes, sets_of, percent, confirm), "links")
+    label = stored(components(links), "labels")
+    spread = met.drop("b", "c").join(_few(label), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    spread = spread.withColumn("_a", F.min("comp").over(group)).withColumn("_b", F.max("comp").over(group)).filter("_a < _b").drop("_a", "_b")
+    tagged = stored(stored(spread, "spread").join(classes.select("node", *SKETCH), "node"), "between")
+    fields = ["node", "n", "pos", *SKETCH, "comp"]
+    x, y = (tagged.select("token", *(F.col(f).alias(f"{p}{f}") for f in fields)) for p in ("x", "y"))
     apart = x.join(y, (x["token"] == y["token"]) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", percent))
-    rest = _pairs(apart, "x", "y", percent, filtered=True)
-    return links.unionByName(_verified(rest, docs, sets_of, percent, confirm))
+    return links.unionByName(_verified(_pairs(apart, "xnode", "ynode"), docs, classes, sets_of, percent, confirm))
 
 
-def _pairs(rows: DataFrame, x: str, y: str, percent: int, filtered: bool = False) -> DataFrame:
-    rows = rows if filtered else rows.filter(_may_link(x, y, percent))
-    a, b = F.col(f"{x}node"), F.col(f"{y}node")
-    return stored(rows.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "pairs")
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return stored(rows.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "pairs")
