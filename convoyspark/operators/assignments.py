@@ -67,29 +67,25 @@ def running_max_totals(plans: DataFrame, block_rows: int = 1 << 20) -> DataFrame
         F.sum(F.greatest(F.lit(0.0), F.col("allocated") - F.col("previous"))).alias("total"))
 
 
-def _lookup(totals: DataFrame, level: str, typed: bool, key: str, value: str) -> DataFrame:
-    rows = totals.where((F.col("level") == level) & (F.col("plan_type").isNotNull() if typed else F.col("plan_type").isNull()))
-    kind = [F.col("plan_type").alias("type_code")] if typed else []
-    return rows.select(F.col("key").alias(key), *kind, F.col("total").alias(value))
-
-
 def with_target(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach ``target`` by center, falling back to the center number alone.
 
     ``rows`` needs ``center_key``, ``center_number_key`` and ``type_code``.  The
     typed total counts if it is there and not zero, else the overall total.
+    The totals are reshaped to a row per key and looked up once for each distinct triple of keys, so a
+    center with a third of all rows is one lookup.
     """
-    joined = (
-        rows.join(_lookup(totals, "center", False, "center_key", "by_center"), "center_key", "left")
-        .join(_lookup(totals, "center", True, "center_key", "by_center_type"), ["center_key", "type_code"], "left")
-        .join(_lookup(totals, "number", False, "center_number_key", "by_number"), "center_number_key", "left")
-        .join(_lookup(totals, "number", True, "center_number_key", "by_number_type"), ["center_number_key", "type_code"], "left")
-    )
-    pick = lambda typed, overall: F.coalesce(F.nullif(F.col(typed), F.lit(0.0)), F.col(overall))
-    target = F.when(F.col("by_center").isNotNull(), pick("by_center_type", "by_center")).otherwise(
-        pick("by_number_type", "by_number"))
-    return joined.withColumn("target", F.coalesce(target, F.lit(0.0))).drop(
-        "by_center", "by_center_type", "by_number", "by_number_type")
+    triple = ["center_key", "center_number_key", "type_code"]
+    typed = F.collect_list(F.when(F.col("plan_type").isNotNull(), F.struct("plan_type", "total")))  # a handful of plan types
+    table = totals.groupBy("level", "key").agg(
+        F.max(F.when(F.col("plan_type").isNull(), F.col("total"))).alias("overall"), F.map_from_entries(typed).alias("typed"))
+    ways = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(level).alias("level"), F.col(key).alias("key"))
+                     for i, (level, key) in enumerate((("center", "center_key"), ("number", "center_number_key")))])
+    wanted = rows.select(*triple).distinct().select(*triple, F.inline(ways))
+    target = F.coalesce(F.nullif(F.try_element_at("typed", F.col("type_code")), F.lit(0.0)), F.col("overall"))
+    found = wanted.join(table, ["level", "key"]).where("overall is not null").groupBy(*triple).agg(
+        F.min_by(target, F.col("turn")).alias("target"))
+    return rows.join(found, triple, "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
 
 
 def target_lookup(plans: DataFrame, totals: DataFrame) -> DataFrame:
@@ -170,9 +166,9 @@ def completion_ring(base: DataFrame, totals: DataFrame, flt: PlanFilter = PlanFi
         F.coalesce("c.planned", F.lit(0.0)).alias("planned"), F.coalesce("c.target", F.lit(0.0)).alias("target"),
     )
     headline = d.plan_type_class(F.col("type_code")).isin(*s.HEADLINE_TYPE_CODES)
-    sums = rows.agg(F.sum(F.when(headline, F.col("target")).otherwise(F.lit(0.0))).alias("headline"),
-                    F.sum("target").alias("overall"))
-    denominator = sums.select(F.coalesce(F.nullif("headline", F.lit(0.0)), "overall", F.lit(0.0))).scalar()
+    every = Window.partitionBy(F.lit(0))  # a row for each label
+    denominator = F.coalesce(F.nullif(F.sum(F.when(headline, F.col("target")).otherwise(F.lit(0.0))).over(every), F.lit(0.0)),
+                             F.sum("target").over(every), F.lit(0.0))
     tenths = F.floor(F.col("planned") / F.col("target") * 1000 + 0.5) / 10
     return rows.select(
         "type_code", "label", "planned", "target",

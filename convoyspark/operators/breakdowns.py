@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoyspark.functions import text as t
 from convoyspark.operators import derive as d
@@ -45,10 +45,11 @@ def by_transport(filtered: DataFrame, plans: DataFrame | None = None) -> DataFra
     """Buses by transport type, zero-filled for every option, with the share of all buses."""
     counted = _by(filtered, t.first_filled(F.col("transport_type_name"), s.UNKNOWN), "transport").select("transport", "buses")
     options = transport_options(filtered if plans is None else plans)
-    total = counted.agg(F.sum("buses")).scalar()
-    return options.join(counted, "transport", "left").select(
+    every = Window.partitionBy(F.lit(0))  # a row for each transport type
+    counted = counted.withColumn("total", F.sum("buses").over(every))
+    return options.join(counted, "transport", "left").withColumn("total", F.max("total").over(every)).select(
         "transport", F.coalesce("buses", F.lit(0.0)).alias("buses"),
-    ).withColumn("share_percent", d.share_percent(F.col("buses"), total))
+        d.share_percent(F.coalesce("buses", F.lit(0.0)), F.col("total")).alias("share_percent"))
 
 
 def entrance_period(filtered: DataFrame, metric: str = "pilgrims") -> DataFrame:
