@@ -841,10 +841,10 @@ _CHAINED = f"""pairs AS (SELECT i._row, i._sub, i.plan_id, i.h AS ih, i.t AS it,
   CASE WHEN c < 4 THEN CASE WHEN c & 1 = 1 THEN ih ELSE it END ELSE CASE WHEN c & 1 = 1 THEN eh ELSE et END END AS t1,
   CASE WHEN c < 4 THEN CASE WHEN c & 2 = 2 THEN et ELSE eh END ELSE CASE WHEN c & 2 = 2 THEN it ELSE ih END END AS h2,
   CASE WHEN c < 4 THEN CASE WHEN c & 2 = 2 THEN eh ELSE et END ELSE CASE WHEN c & 2 = 2 THEN ih ELSE it END END AS t2 FROM tries),
- best AS (SELECT * FROM laid QUALIFY row_number() OVER (PARTITION BY _row, _sub ORDER BY round({_gap('src', 'h1')} + {_gap('t1', 'h2')} + {_gap('t2', 'dst')}, 6), c) = 1),
+ best AS MATERIALIZED (SELECT * FROM laid QUALIFY row_number() OVER (PARTITION BY _row, _sub ORDER BY round({_gap('src', 'h1')} + {_gap('t1', 'h2')} + {_gap('t2', 'dst')}, 6), c) = 1),
  single AS (SELECT *, row_number() OVER (PARTITION BY _row, _sub ORDER BY ord) - 1 AS position,
-   CASE WHEN rev THEN t ELSE h END AS h1, CASE WHEN rev THEN h ELSE t END AS t1 FROM turned WHERE (_row, _sub) NOT IN (SELECT (_row, _sub) FROM best)),
- chained AS (SELECT _row, _sub, plan_id, 0 AS position, CASE WHEN c < 4 THEN 'internal' ELSE 'external' END AS role, h1 AS h, t1 AS t, sa, ea, na, ra, da FROM best
+   CASE WHEN rev THEN t ELSE h END AS h1, CASE WHEN rev THEN h ELSE t END AS t1 FROM turned ANTI JOIN best USING (_row, _sub)),
+ chained AS MATERIALIZED (SELECT _row, _sub, plan_id, 0 AS position, CASE WHEN c < 4 THEN 'internal' ELSE 'external' END AS role, h1 AS h, t1 AS t, sa, ea, na, ra, da FROM best
   UNION ALL SELECT _row, _sub, plan_id, 1, CASE WHEN c < 4 THEN 'external' ELSE 'internal' END, h2, t2, sa, ea, na, ra, da FROM best
   UNION ALL SELECT _row, _sub, plan_id, position, role, h1, t1, sa, ea, na, ra, da FROM single)"""
 
@@ -866,7 +866,8 @@ def connected_routes_exits(spark, sf):
 
 @query("route_gaps", f"""{o.PLANS}, {o._SHAPES}, {_ANCHORS}, {_LINES}, {_CHAINED}
  SELECT * FROM (SELECT a.plan_id, a._sub, CAST(a.position AS INT) AS position, round({_gap('a.t', 'b.h')}, 3) AS metres FROM chained a JOIN chained b ON a._row = b._row AND a._sub = b._sub
-  AND b.position = a.position + 1 WHERE (a._row, a._sub) IN (SELECT (_row, _sub) FROM p WHERE {o.plan_class(o.filled('plan_type_code', 'plan_type_name'))} = 'direct_taseed'))
+  AND b.position = a.position + 1 SEMI JOIN (SELECT _row, _sub FROM p WHERE {o.plan_class(o.filled('plan_type_code', 'plan_type_name'))} = 'direct_taseed') q
+  ON a._row = q._row AND a._sub = q._sub)
  WHERE metres BETWEEN 12 AND 5000""")
 def route_gaps(spark, sf):
     return orient.route_gaps(_plans(spark, sf, *ROUTES)).select("plan_id", s.SUB, "position", F.round("metres", 3).alias("metres"))

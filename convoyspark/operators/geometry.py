@@ -101,16 +101,19 @@ def explode_geometries(plans: DataFrame) -> DataFrame:
 
 
 def parse_report(plans: DataFrame, columns: tuple[str, ...] = s.GEOMETRY_COLUMNS) -> DataFrame:
-    """Texts given, parsed and rejected per geometry column, and the vertices kept, in one pass."""
+    """Texts given, parsed and rejected per geometry column, and the vertices kept, in one pass.
+
+    Texts are counted first, so each distinct one is parsed once.
+    """
     present = [c for c in columns if c in plans.columns]
     cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("text")) for c in present])
-    parsed = plans.select(F.inline(F.filter(cells, lambda x: x["text"].isNotNull()))).withColumn(
-        "geom", geo.parse_geometry(F.col("text")))
+    given = plans.select(F.inline(F.filter(cells, lambda x: x["text"].isNotNull()))).groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
+    parsed = given.withColumn("geom", geo.parse_geometry(F.col("text")))
     vertices = F.aggregate(F.col("geom.parts"), F.lit(0), lambda acc, p: acc + F.size(p))
     return parsed.groupBy("column", F.col("geom.type").alias("type")).agg(
-        F.count(F.lit(1)).alias("given"), F.count("geom").alias("parsed"),
-        F.count_if(F.col("geom").isNull()).alias("rejected"),
-        F.coalesce(F.sum(vertices), F.lit(0)).cast("bigint").alias("vertices"))
+        F.sum("n").alias("given"), F.sum(F.when(F.col("geom").isNotNull(), F.col("n")).otherwise(0)).alias("parsed"),
+        F.sum(F.when(F.col("geom").isNull(), F.col("n")).otherwise(0)).alias("rejected"),
+        F.coalesce(F.sum(vertices * F.col("n")), F.lit(0)).cast("bigint").alias("vertices"))
 
 
 def anchor(end: str) -> Column:

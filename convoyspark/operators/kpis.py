@@ -148,18 +148,27 @@ def kpi_denominators(base: DataFrame, camps: DataFrame, flt: PlanFilter = PlanFi
 
 def kpi_card(plans: DataFrame, camps: DataFrame, residence_counts: DataFrame, flt: PlanFilter = PlanFilter(),
              mix: DataFrame | None = None) -> DataFrame:
-    """One row with every planned/total figure of the headline card."""
+    """One row with every planned/total figure of the headline card: an aggregate for each layer and table, each evaluated once."""
     layers = filter_layers(plans, flt, mix)
-    totals = kpi_denominators(layers.base, camps, flt)
+    rows = d.with_measures(d.with_entity_keys(layers.base)).where(d.is_denominator_type(flt.plan_types) & entity_condition(flt))
+    parts = d.camp_label_parts(F.when(t.truthy(F.col("camp_label")), t.trim_ws(F.col("camp_label"))))
+    totals = rows.agg(F.struct(
+        F.coalesce(F.sum("pilgrims"), F.lit(0.0)).alias("pilgrims"),
+        F.count_if((parts["numerator"] != "") & (parts["denominator"] != "")).alias("assignments"))).scalar()
+    label, given = t.trim_ws(F.col("camp_label")), t.trim_ws(F.col("office_number")) != ""
+    table = _entity_camps(camps, flt).agg(F.struct(
+        F.count_distinct(F.when(label != "", label)).alias("camps"),
+        F.count_distinct(F.when(given, F.col("center_key"))).alias("centers"))).scalar()
+    homes = residence_counts.select(F.struct("planned", "assigned")).scalar()
     card = headline_kpis(layers.filtered).select(
         F.col("pilgrims").alias("pilgrims_planned"), "buses", "plans", "trips",
         F.col("centers").alias("centers_planned"), F.col("camps").alias("camps_planned"),
     )
     return card.withColumns({
-        "pilgrims_total": totals.select("pilgrims").scalar(),
-        "centers_total": totals.select("centers").scalar(),
-        "camps_total": camp_count(camps, flt).scalar(),
-        "camp_assignments": totals.select("assignments").scalar(),
-        "residences_planned": residence_counts.select("planned").scalar(),
-        "residences_assigned": residence_counts.select("assigned").scalar(),
+        "pilgrims_total": totals["pilgrims"],
+        "centers_total": table["centers"],
+        "camps_total": table["camps"],
+        "camp_assignments": totals["assignments"],
+        "residences_planned": homes["planned"],
+        "residences_assigned": homes["assigned"],
     })
