@@ -651,8 +651,7 @@ def stratified_sample(spark, sf):
 def dq_missing_columns(spark, sf):
     """Headers of the files that the plans are written to, without one of the required columns."""
     bound = [c for c in s.REQUIRED_COLUMNS if c in binding.PLAN_COLUMNS and c != "path_name"]
-    path = _folder(spark, "headers")
-    _plans(spark, sf, *bound).drop(s.ROW, s.SUB).write.options(header=True, escape='"').csv(path)
+    path = _csv(_plans(spark, sf, *bound).drop(s.ROW, s.SUB), _folder(spark, "headers"))
     return files.header_report(spark, path).select("check", "row", "column", F.lit(None).cast("string").alias("value")).distinct()
 
 
@@ -963,9 +962,7 @@ _CSV_COLUMNS = ("plan_id", *OWNER, "camp_label", *ALLOC, "number_of_buses", *TYP
 @query("plans_csv", o.PLANS + """SELECT plan_id, owner_company_name, owner_office_number, camp_label, CAST(allocated_haj AS DOUBLE) AS allocated_haj,
  number_of_haj, number_of_buses, period, internal_path FROM (SELECT * REPLACE (nullif(camp_label, '') AS camp_label) FROM p)""")
 def plans_csv(spark, sf):
-    path = _folder(spark, "plans")
-    _plans(spark, sf, *_CSV_COLUMNS).drop(s.ROW, s.SUB).write.options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    path = _csv(_plans(spark, sf, *_CSV_COLUMNS).drop(s.ROW, s.SUB), _folder(spark, "plans"))
     return files.read_plans(spark, path).select(
         "plan_id", *OWNER, "camp_label", *ALLOC, "number_of_buses", "period", "internal_path")
 
@@ -980,6 +977,64 @@ def camera_stats_csv(spark, sf):
     return spark.read.options(header=True, escape='"').csv(path).toDF(*snapshots_sink.CAMERA_HEADER)
 
 
+def _csv(df: DataFrame, path: str, **options) -> str:
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
+    return path
+
+
+def _json_arrays(df: DataFrame, path: str) -> str:
+    """Writes rows as files that hold one JSON array each."""
+    row = F.struct(*df.columns)
+    files_ = df.groupBy(F.pmod(F.xxhash64(row), F.lit(64)).alias("k")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    files_.repartition(64, "k").select("k", "value").write.partitionBy("k").text(path)
+    return path
+
+
+@query("camps_csv", f"WITH {o._CAMPS} SELECT camp_label, service_company_name, office_number, nationality, service_center_name, number_of_piligrim FROM c")
+def camps_csv(spark, sf):
+    """Two sets of files with columns in different order, and a heading with a line break."""
+    camps, path = binding.camps(spark, sf), _folder(spark, "camps-csv")
+    names = ["camp_label", "service_company_name", "office_number", "nationality", "service_center_name", "number_of_piligrim"]
+    mode = F.lit("bus").alias("transport_mode\n")
+    _csv(camps.where(F.col(s.ROW) % 2 == 0).select(*names, mode), f"{path}/part=0")
+    _csv(camps.where(F.col(s.ROW) % 2 == 1).select(mode, *reversed(names)), f"{path}/part=1")
+    return files.read_camps(spark, path, strict=True).select(*names)
+
+
+@query("residences_csv", f"WITH {o._RESIDENCES} SELECT license_number, trim(residence_name) AS residence_name, service_company, service_center_number FROM residences")
+def residences_csv(spark, sf):
+    """Human headings after a byte-order mark, and a column without a name."""
+    homes = binding.residences(spark, sf).select(
+        F.col("license_number").alias("\ufeffLicense Number"), F.concat(F.lit(" "), "residence_name", F.lit(" ")).alias("Name"),
+        F.col("service_company").alias("Service_company"), F.col("service_center_number").alias("Service_center_number"), F.lit("x").alias(" "))
+    return files.read_residences(spark, _csv(homes, _folder(spark, "homes-csv")), strict=True).select(
+        "license_number", "residence_name", "service_company", "service_center_number")
+
+
+@query("cameras_json", f"WITH {o._CAMERAS} SELECT name, longitude, latitude, altitude FROM cameras")
+def cameras_json(spark, sf):
+    path = _json_arrays(binding.cameras(spark, sf), _folder(spark, "cameras"))
+    return files.read_cameras(spark, path, strict=True).select("name", "longitude", "latitude", "altitude")
+
+
+@query("gates_json", f"WITH {o._GATES} SELECT source, capacity, longitude, latitude FROM gates")
+def gates_json(spark, sf):
+    path = _json_arrays(binding.gates(spark, sf), _folder(spark, "gates"))
+    return files.read_gates(spark, path, strict=True).select("source", "capacity", "longitude", "latitude")
+
+
+@query("dq_row_width", """SELECT 'row width' AS "check", event_id || ',' || event_type AS value FROM events WHERE event_id % 7 = 3
+ UNION ALL SELECT 'row width', event_id || ',' || event_type || ',' || user_id || ',more' FROM events WHERE event_id % 7 = 5""")
+def dq_row_width(spark, sf):
+    """Events as text lines, some with a cell too few or too many."""
+    path, left = _folder(spark, "widths"), F.col("event_id") % 7
+    cells = F.when(left == 3, F.concat_ws(",", "event_id", "event_type")).when(
+        left == 5, F.concat_ws(",", "event_id", "event_type", "user_id", F.lit("more"))).otherwise(F.concat_ws(",", "event_id", "event_type", "user_id"))
+    lines = binding.table(spark, sf, "events").select(cells.alias("event_id,event_type,user_id"))
+    lines.write.options(header=True, sep="\u0001").csv(path)
+    return validate.width_violations(files.read_csv(spark, path, corrupt=True)).select("check", "value")
+
+
 @query("published_snapshot", f"WITH {o._CAMPS} SELECT _row, camp_label, service_company_name, number_of_piligrim FROM c")
 def published_snapshot(spark, sf):
     stored = snapshots_sink.publish(binding.camps(spark, sf), _folder(spark, "camps"), source="part")
