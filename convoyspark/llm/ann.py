@@ -145,8 +145,9 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_column: str
     candidates give fewer rows. Repeated rows of one id are candidates of one another's queries only by another id.
     """
     same = Window.partitionBy("vector").orderBy("id")
-    rows = stored(usable(vectors, id_column, vector_column).distinct().withColumn("nth", F.row_number().over(same)), "vectors")
-    members = rows.filter(F.col("nth") <= k + 1)  # of equal vectors no more can be among the nearest, the query aside
+    rows = stored(usable(vectors, id_column, vector_column), "vectors").distinct()
+    # Of equal vectors no more than these can be among the nearest, the query aside; Spark drops the others before the shuffle.
+    members = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1)
     tops = stored(members.groupBy("vector").agg(F.min("id").alias("top"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     n = tops.count()
     sample = tops.orderBy(F.xxhash64("top", F.lit(3)), "top").limit(SAMPLE).select("vector").collect()
@@ -156,14 +157,14 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_column: str
     probes = probes_for(router, matrix, k) if sample else 1
     kind = rows.schema["id"].dataType.simpleString()
     indexed = stored(_routed(tops.select(F.col("top").alias("id"), "vector"), router, 1, kind), "index")
-    asked = _routed(rows.filter(is_query).select("id", "vector"), router, probes, kind)
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each partition
-    candidates = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    spread = asked.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    shares = max(1, -(-rows.filter(is_query).count() // BLOCK_ROWS))
-    share = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(shares)).cast("int")
-    spread = spread.withColumn("share", share)
-    candidates = candidates.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else candidates.withColumn("share", F.lit(0))
+    asked = stored(_routed(rows.filter(is_query), router, probes, kind), "asked")
+    number = lambda name: F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name)
+    sizes = stored(indexed.groupBy("part").agg(number("blocks")).join(asked.groupBy("part").agg(number("shares")), "part"), "sizes")
+    by_part = F.broadcast(sizes)  # a row for each partition; a block of candidates meets a share of queries in a task
+    candidates = indexed.join(by_part, "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    spread = asked.join(by_part, "part").withColumn("share", F.pmod(F.xxhash64("id", F.lit(9)), "shares").cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def best(left, right):
         return _best(left, right, k)
