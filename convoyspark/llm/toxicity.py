@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ragged
+from .shared import stored
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -23,7 +24,7 @@ BATCH_WORDS = 8192
 STEP = 0.3
 ROUND_WORDS = 100_000
 KEEP = 0.6
-SAMPLE_ROWS = 8000  # of either label half at most
+SAMPLE_ROWS = (5000, 2000)  # clean and toxic ones at most
 SAMPLE_CHARS = 20_000  # longer texts are not learned from; they are scored all the same
 ROUNDS = 8
 BLOCK_CHARS = 1 << 19
@@ -47,7 +48,7 @@ class Model:
             logits = np.full(stop - start, self.empty)
             if len(bag.words):
                 docs = np.flatnonzero(np.diff(bag.doc_words))
-                logits[docs] = self.bias + np.maximum.reduceat(_averages(self.worth, bag)[bag.words], bag.doc_words[docs])
+                logits[docs] = self.bias + np.maximum.reduceat(_averages(self.worth, bag.ids, bag.id_at)[bag.words], bag.doc_words[docs])
             out[start:stop] = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
         return out
 
@@ -65,11 +66,32 @@ class Bags:
         edge[bounds] = True
         before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
         starts, ends = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
-        _, first, self.words = np.unique(ragged.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        self.keys, first, self.words = np.unique(ragged.hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.ids, self.id_at = _embedding_ids(data, starts[first], ends[first])
         self.doc_words = np.searchsorted(starts, bounds)
 
 
+def _vocabulary(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts, block by block: the embedding ids of all distinct words and where each word's begin, and
+    all distinct pairs of text and word."""
+    keys, sizes, ids, docs, words, known = [], [], [], [], [], 0
+    for start, stop in ragged.blocks(texts, BLOCK_CHARS):
+        bag = Bags(texts[start:stop])
+        doc = np.repeat(np.arange(start, stop), np.diff(bag.doc_words))
+        pair = np.unique(doc * len(bag.keys) + bag.words) if len(bag.keys) else doc
+        docs.append((pair // max(1, len(bag.keys))).astype(np.int32))
+        words.append((pair % max(1, len(bag.keys)) + known).astype(np.int32))
+        keys.append(bag.keys)
+        sizes.append(np.diff(bag.id_at))
+        ids.append(bag.ids.astype(np.int32))
+        known += len(bag.keys)
+    sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    at = np.cumsum(sizes) - sizes
+    kept = ragged.gather(ids, at[first], sizes[first])
+    return kept, np.concatenate(([0], np.cumsum(sizes[first]))), np.concatenate(docs), inverse[np.concatenate(words)].astype(np.int32)
+
+
 def _embedding_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word (itself and its n-grams with marks at both ends) in one array, and where each word's begin."""
     length = ends - starts
@@ -104,25 +126,21 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     if not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS), *[5.0 if toxic.any() else -5.0] * 2)
     rng = np.random.default_rng(seed)
-    bag = Bags(texts)
-    size = np.diff(bag.id_at)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(bag.doc_words))
+    ids_of, id_at, doc_of, word_of = _vocabulary(texts)
+    size, n = np.diff(id_at), len(id_at) - 1
     back = np.arange(len(texts)) % 5 == 4
-    n = len(size)
-    pairs = np.unique(doc_of * n + bag.words)
-    doc_of, word_of = np.divmod(pairs, n)
     learn = ~back[doc_of]
     in_clean = np.bincount(word_of[learn & ~toxic[doc_of]], minlength=n)
     in_toxic = np.bincount(word_of[learn & toxic[doc_of]], minlength=n)
     embeddings = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    axis = rng.normal(0, 0.5, DIMENSIONS)
+    axis = rng.normal(0, 0.5, DIMENSIONS).astype(np.float32)
     bias = -1.0
     suspect = learn & toxic[doc_of] & (in_clean[word_of] == 0)
     positive = np.where(in_clean == 0, in_toxic, 0)
     negative = np.flatnonzero(in_clean)
     for round_ in range(ROUNDS):
         if round_:
-            z = _averages(embeddings @ axis, bag)
+            z = _averages(embeddings @ axis, ids_of, id_at)
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, doc_of[suspect], z[word_of[suspect]])
             best = suspect & (z[word_of] == top[doc_of])
@@ -138,7 +156,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
         for i in range(0, len(order), BATCH_WORDS):
             part = order[i : i + BATCH_WORDS]
             words, count = use[part], size[use[part]]
-            ids = ragged.gather(bag.ids, bag.id_at[words], count)
+            ids = ragged.gather(ids_of, id_at[words], count)
             kept = rng.random(len(ids)) < KEEP  # so that no n-gram leans on the whole word
             kept[np.cumsum(count) - 1] = True
             count = np.add.reduceat(kept, np.cumsum(count) - count, dtype=np.int64)
@@ -147,11 +165,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
             p = 1 / (1 + np.exp(-np.clip(mean @ axis + bias, -30, 30)))
             error = (p - target[part]) * np.minimum(weight[part], 20.0)
             pull = np.bincount(ids, weights=np.repeat(error / count, count), minlength=BUCKETS)
-            embeddings -= (STEP * pull[:, None] * axis).astype(np.float32)
-            axis -= STEP / len(part) * (error @ mean)
+            embeddings -= (STEP * pull).astype(np.float32)[:, None] * axis
+            axis -= (STEP / len(part) * (error @ mean)).astype(np.float32)
             bias -= STEP / len(part) * error.sum()
     worth = embeddings @ axis
-    z = _averages(worth, bag)
+    z = _averages(worth, ids_of, id_at)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, doc_of, z[word_of])
     known = back & np.isfinite(top)
@@ -160,8 +178,13 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     return Model(worth, float(-cut), min(-0.01, float(np.median(usual) - cut)) if len(usual) else -1.0)
 
 
-def _averages(worth: np.ndarray, bag: Bags) -> np.ndarray:
-    return np.add.reduceat(worth[bag.ids], bag.id_at[:-1]) / np.diff(bag.id_at)
+def _averages(worth: np.ndarray, ids: np.ndarray, id_at: np.ndarray) -> np.ndarray:
+    """Of each word, some thousands at a time."""
+    out = np.empty(len(id_at) - 1)
+    for i in range(0, len(out), 1 << 14):
+        at = id_at[i : i + (1 << 14) + 1]
+        out[i : i + (1 << 14)] = np.add.reduceat(worth[ids[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
+    return out
 
 
 def _cut(scores: np.ndarray, toxic: np.ndarray, otherwise: float) -> float:
@@ -179,12 +202,14 @@ def _cut(scores: np.ndarray, toxic: np.ndarray, otherwise: float) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list, np.ndarray]:
-    """At most ``SAMPLE_ROWS`` labelled rows with text of up to ``SAMPLE_CHARS`` characters for the driver, half of either label
-    where there are so many, picked by a hash of the id among rows where ``learn`` (a condition on ``doc_id``) holds."""
+    """At most ``SAMPLE_ROWS`` labelled rows with text of up to ``SAMPLE_CHARS`` characters for the driver, picked by a hash of the id among rows where ``learn`` (a condition on ``doc_id``) holds."""
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(learn & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(marks, "doc_id")
-    parts = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(SAMPLE_ROWS // 2).collect() for y in (0, 1)]
-    picked = [r for part in parts for r in part]
+    usable = docs.select("doc_id", "text").filter(learn & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    ids = usable.select("doc_id").join(marks, "doc_id").distinct()
+    parts = [ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(SAMPLE_ROWS[y]) for y in (0, 1)]
+    chosen = F.broadcast(stored(parts[0].unionByName(parts[1]), "sample"))  # so many rows at most
+    texts = usable.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    picked = sorted(texts.collect(), key=lambda r: (r["toxic"], r["doc_id"]))
     return [r["text"] for r in picked], np.array([r["toxic"] for r in picked], bool)
 
 
