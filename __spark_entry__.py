@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import oracles as o
 from convoyspark.functions import geo, text as t
 from convoyspark.operators import (
-    assignments, breakdowns, derive, entities, filters, geometry, kpis, lookups, orient, proximity, residences, sampling,
+    assignments, breakdowns, derive, entities, filters, geometry, kpis, lookups, ordering, orient, proximity, residences, sampling,
     validate,
 )
 from convoyspark.operators.filters import PlanFilter
@@ -552,15 +552,31 @@ def center_table_filtered(spark, sf):
     return _rounded(entities.center_table(df, LAYERED), "completion")
 
 
-@query("entity_sort", f"SELECT *, row_number() OVER (ORDER BY total_pilgrims DESC, center_key) AS position FROM ({_center_sql('true', 'true')})")
+@query("entity_sort", f"SELECT *, row_number() OVER (ORDER BY total_pilgrims DESC, label, center_key) AS position FROM ({_center_sql('true', 'true')})")
 def entity_sort(spark, sf):
-    from pyspark.sql import Window
-
     table = entities.center_table(_plans(spark, sf, *_ENTITY_COLUMNS, "allocated_haj", "camp_label"))
-    ranked = entities.sort_entities(table, "total_pilgrims")
-    # One row per center: the ranking window sees the result, not the plans.
-    return _rounded(ranked.withColumn("position", F.row_number().over(
-        Window.orderBy(F.desc("total_pilgrims"), "center_key")).cast("bigint")), "completion")
+    placed = ordering.with_position(entities.sort_entities(table, "total_pilgrims"), _folder(spark, "order"))
+    return _rounded(placed, "completion")
+
+
+@query("by_path_order", o.PLANS + """, q AS (SELECT path_l AS path, sum(pilgrims) AS pilgrims, min(_row) AS first_row FROM p GROUP BY 1)
+ SELECT path, row_number() OVER (ORDER BY pilgrims DESC, first_row) AS position FROM q""")
+def by_path_order(spark, sf):
+    rows = breakdowns.by_path(_plans(spark, sf, *LOAD, "path_name"))
+    return ordering.with_position(rows, _folder(spark, "order")).select("path", "position")
+
+
+@query("by_period_order", o.PLANS + "SELECT period_l AS period, row_number() OVER (ORDER BY period_l) AS position FROM p GROUP BY 1")
+def by_period_order(spark, sf):
+    rows = breakdowns.by_period(_plans(spark, sf, *LOAD, "period"))
+    return ordering.with_position(rows, _folder(spark, "order")).select("period", "position")
+
+
+@query("entrance_period_order", o.PLANS + """SELECT e.entrance, q.period, row_number() OVER (ORDER BY e.entrance, TRY_CAST(q.period AS DOUBLE) NULLS LAST, q.period) AS position
+ FROM (SELECT DISTINCT entrance_l AS entrance FROM p) e CROSS JOIN (SELECT DISTINCT period_l AS period FROM p) q""")
+def entrance_period_order(spark, sf):
+    rows = breakdowns.entrance_period(_plans(spark, sf, *LOAD, "period", *ENTRANCE), "buses")
+    return ordering.with_position(rows, _folder(spark, "order")).select("entrance", "period", "position")
 
 
 @query("entity_search", f"""SELECT center_key FROM ({_center_sql('true', 'true')}) WHERE contains({o.key(

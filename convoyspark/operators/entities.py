@@ -222,7 +222,7 @@ def center_table(plans: DataFrame, flt: PlanFilter = PlanFilter(), mix: DataFram
 
 
 def sort_entities(rows: DataFrame, sort_key: str = "completion", descending: bool = True) -> DataFrame:
-    """User-chosen order; ties go by label in Arabic collation.
+    """User-chosen order; ties go by label in Arabic collation, then by key.
 
     Figures sort by value.  Center numbers sort by value where they are numbers
     (thousands separators dropped) and in natural order otherwise, all numbers
@@ -238,7 +238,8 @@ def sort_entities(rows: DataFrame, sort_key: str = "completion", descending: boo
     else:
         keys = [F.collate(t.natural_key(t.text_key(F.col(sort_key))), "ar")]
     ordered = [k.desc() if descending else k.asc() for k in keys]
-    return rows.orderBy(*ordered, F.collate("label", "ar"))
+    key = "center_key" if "center_key" in rows.columns else "company_key"
+    return rows.orderBy(*ordered, F.collate("label", "ar"), key)
 
 
 def camp_names_of_centers(camps: DataFrame, centers: DataFrame) -> DataFrame:

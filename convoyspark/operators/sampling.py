@@ -18,8 +18,12 @@ def facets(plans: DataFrame) -> DataFrame:
     """Distinct options of every facet as one long ``(facet, value, label)`` table.
 
     All facets are stacked in one pass; repeats disappear in the map-side part
-    of the ``distinct``.
+    of the ``distinct``.  Each facet's options come in Arabic collation of their labels.
     """
+    return _all_facets(plans).orderBy("facet", F.collate("label", "ar"), "value")
+
+
+def _all_facets(plans: DataFrame) -> DataFrame:
     keyed = d.with_entity_keys(plans)
     facet = lambda name, value: F.struct(
         F.lit(name).alias("facet"), value.alias("value"))
@@ -49,8 +53,9 @@ def _facet_label():
 
 def center_options(plans: DataFrame, company: str | None = None) -> DataFrame:
     """Center options whose company key starts with the chosen one."""
-    centers = facets(plans).where("facet = 'center'").select("value", "label")
-    return centers.where(F.col("value").startswith(company)) if company else centers
+    centers = _all_facets(plans).where("facet = 'center'").select("value", "label")
+    chosen = centers.where(F.col("value").startswith(company)) if company else centers
+    return chosen.orderBy(F.collate("label", "ar"), "value")
 
 
 def stratified_sample(df: DataFrame, limit: int) -> DataFrame:
