@@ -10,6 +10,7 @@ texts go through the library whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -54,10 +55,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo:
-    """Open-addressed table from hashes to id lists; emptied when half full, so its size is bounded."""
+    """Open-addressed table from hashes to id lists; emptied when three quarters full, so its size is bounded."""
 
     def __init__(self, slots: int = MEMO_SLOTS):
-        self.mask, self.most = np.uint64(slots - 1), slots // 2
+        self.mask, self.most = np.uint64(slots - 1), slots * 3 // 4
         self.keys = np.zeros(slots, np.uint64)
         self.at = np.zeros(slots, np.uint32)
         self.length = np.zeros(slots, np.uint32)
@@ -83,7 +84,7 @@ class Memo:
     def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
         """``h`` holds distinct hashes that are not in the table."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(flat)] = flat
@@ -144,10 +145,9 @@ class Encoder:
                 found[:] = False
             new, first = np.unique(h[~found], return_index=True)
             at = np.flatnonzero(~found)[first]
-            raw, model, letters = data.tobytes(), self.library.model, self.letters
-            self.memo.add(new, [
-                [x.id for x in model.tokenize(raw[s:e].decode("latin-1").translate(letters))]
-                for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            raw, cut, letters = data.tobytes().decode("latin-1"), self.library.model.tokenize, self.letters
+            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            self.memo.add(new, [[x.id for x in cut(w if w.isascii() and w.isalnum() else w.translate(letters))] for w in words])
             slot, _ = self.memo.find(h)
         lengths = self.memo.length[slot].astype(np.int64)
         flat = ragged.gather(self.memo.flat, self.memo.at[slot].astype(np.int64), lengths)

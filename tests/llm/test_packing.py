@@ -29,7 +29,7 @@ def test_ids_are_the_library_s(path):
         assert flat[at[i] : at[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
-def test_memo_starts_again_when_half_full():
+def test_memo_starts_again_when_full():
     encoder = tokens.Encoder(BYTES)
     encoder.memo = tokens.Memo(64)
     texts = [f"word{i} other{i}" for i in range(500)]
