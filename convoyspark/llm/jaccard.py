@@ -31,7 +31,7 @@ SKETCH_LONGS = 8
 MOST_SKETCH_BITS = 20
 FAN_IN = 256
 BROADCAST_ROWS = 1 << 20
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 17
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 _PLACE = ragged.mix(np.arange(1001, 1129, dtype=np.uint64)) | np.uint64(1)
 
@@ -93,8 +93,8 @@ def _signatures(docs: DataFrame, sets_of) -> DataFrame:
         task, id_type = TaskContext.get().partitionId(), None
         for batch in batches:
             id_type = batch.column(0).type
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 sets = sets_of(part.column(1).to_pylist())
                 tokens = np.concatenate(sets)
                 totals += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(totals))
@@ -153,8 +153,8 @@ def _prefixes(docs: DataFrame, sets_of, order: np.ndarray, percent: int) -> Data
 
     def cut(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 out, sizes = [], []
                 for x in sets_of(part.column(1).to_pylist()):
                     n = len(x)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -24,12 +22,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-@functools.cache
+_kept = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, _STEP, np.uint64)
-    down = np.full(size, _STEP_BACK, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of the step and of its inverse, at least so many; only the longest tables asked for are kept."""
+    global _kept
+    if len(_kept[0]) < size:
+        steps = [np.full(size, s, np.uint64) for s in (_STEP, _STEP_BACK)]
+        for s in steps:
+            s[0] = 1
+            np.multiply.accumulate(s, out=s)
+        _kept = (steps[0], steps[1])
+    return _kept
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

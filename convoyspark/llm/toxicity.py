@@ -27,7 +27,7 @@ KEEP = 0.6
 SAMPLE_ROWS = (5000, 2000)  # clean and toxic ones at most
 SAMPLE_CHARS = 20_000  # longer texts are not learned from; they are scored all the same
 ROUNDS = 8
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 16
 _CUTS = np.zeros(128, bool)
 _CUTS[[*range(33), 127, *map(ord, '.,;:!?|()"')]] = True
 
@@ -229,8 +229,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def apply(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 scores = broadcast.value.scores(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*names, "_score"])
 
