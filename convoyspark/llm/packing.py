@@ -21,6 +21,7 @@ from . import tokens
 from .shared import stored
 
 SALTS = 64
+MEMO_SLOTS = 1 << 19  # workers keep this between stages of a pipeline
 GROUPS = 24
 LARGE_SHARES = (4, 3, 2)
 
@@ -35,10 +36,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int
     kind = docs.schema[id_column].dataType.simpleString()
 
     def cut(batches):
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, MEMO_SLOTS)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 flat, counts = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id).astype("<u4")

@@ -103,12 +103,12 @@ class Memo:
 class Encoder:
     """``encode(texts)`` gives all ids in one array and the number of ids of each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_slots: int = MEMO_SLOTS):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.rule = _rule(self.library)
         self.letters = _byte_letters()
-        self.memo = Memo()
+        self.memo = Memo(memo_slots)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         flats, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
@@ -222,6 +222,6 @@ def _endings(data: np.ndarray, kind: np.ndarray, first: np.ndarray, cut: np.ndar
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_slots: int = MEMO_SLOTS) -> Encoder:
     """One per worker process, so that its memo serves all of the worker's tasks."""
-    return Encoder(path)
+    return Encoder(path, memo_slots)
