@@ -137,20 +137,7 @@ class Encoder:
         odd = np.unique(np.searchsorted(bounds, np.flatnonzero(kind == BAD), "right") - 1)
         whole |= {int(i): texts[i] for i in odd}
         starts, ends = _pretokens(data, kind, bounds, self.rule or "byte")
-        h = ragged.hashes(data, starts, ends)
-        slot, found = self.memo.find(h)
-        if not found.all():
-            if self.memo.count + np.count_nonzero(~found) > self.memo.most:
-                self.memo.clear()
-                found[:] = False
-            new, first = np.unique(h[~found], return_index=True)
-            at = np.flatnonzero(~found)[first]
-            raw, cut, letters = data.tobytes().decode("latin-1"), self.library.model.tokenize, self.letters
-            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            self.memo.add(new, [[x.id for x in cut(w if w.isascii() and w.isalnum() else w.translate(letters))] for w in words])
-            slot, _ = self.memo.find(h)
-        lengths = self.memo.length[slot].astype(np.int64)
-        flat = ragged.gather(self.memo.flat, self.memo.at[slot].astype(np.int64), lengths)
+        flat, lengths = self._ids(data, starts, ends, ragged.hashes(data, starts, ends))
         upto = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, bounds)]
         counts = np.diff(upto)
         if not whole:
@@ -162,6 +149,27 @@ class Encoder:
             last, counts[i] = upto[i + 1], len(ids)
         return np.concatenate([*pieces, flat[last:]]), counts
 
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens with hashes ``h`` and the number of ids of each; in parts where they are too many for the memo."""
+        memo = self.memo
+        slot, found = memo.find(h)
+        if not found.all():
+            if memo.count + np.count_nonzero(~found) > memo.most:
+                memo.clear()
+                found[:] = False
+            new, first = np.unique(h[~found], return_index=True)
+            if len(new) > memo.most:  # so are the pre-tokens; one part holds no more of them than the memo
+                parts = [slice(i, i + memo.most) for i in range(0, len(h), memo.most)]
+                flats, lengths = zip(*(self._ids(data, starts[p], ends[p], h[p]) for p in parts))
+                return np.concatenate(flats), np.concatenate(lengths)
+            at = np.flatnonzero(~found)[first]
+            raw, cut, letters = data.tobytes().decode("latin-1"), self.library.model.tokenize, self.letters
+            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            memo.add(new, [[x.id for x in cut(w if w.isascii() and w.isalnum() else w.translate(letters))] for w in words])
+            slot, _ = memo.find(h)
+        lengths = memo.length[slot].astype(np.int64)
+        return ragged.gather(memo.flat, memo.at[slot].astype(np.int64), lengths), lengths
+
 
 def _rule(library: Tokenizer) -> str | None:
     """Which of the known ways to cut texts a tokenizer has, if any."""

@@ -37,6 +37,16 @@ def test_memo_starts_again_when_full():
     assert flat.tolist() == [x for t in texts for x in encoder.library.encode(t, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_one_text_brings_more_pretokens_than_the_memo_holds(path):
+    encoder = tokens.Encoder(path)
+    encoder.memo = tokens.Memo(64)
+    texts = ["few words", " ".join(f"word{i}" for i in range(500)), "few words " * 100, None, " ".join(f"it's x{'y' * i}" for i in range(90)), "words"]
+    flat, counts = encoder.encode(texts)
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=300))
 def test_plan_places_every_piece_once(lengths):
