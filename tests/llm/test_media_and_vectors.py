@@ -62,6 +62,28 @@ def test_wav_files_and_same_recordings(rows):
     assert audio.same_recordings(audio.fingerprints(rows([], "rec bigint, sound binary"), id_column="rec", audio_column="sound")).count() == 0
 
 
+def test_recordings_below_half_of_their_integers_are_found(rows):
+    whole, noise = audio.sung(" ".join(_words(1, 200))), np.random.default_rng(5)
+    noisy = [(whole + noise.normal(0, s, len(whole)), audio.RATE) for s in (1500, 2500)]
+    resampled = (np.interp(np.arange(len(whole) * 8 // 11) * 11 / 8, np.arange(len(whole)), whole) + noise.normal(0, 1500, len(whole) * 8 // 11), audio.RATE * 8 // 11)
+    excerpt = (audio.sung(" ".join(_words(1, 200)[30:])) + noise.normal(0, 1500, 170 * audio.HOP), audio.RATE)
+    data = [(20 + i, bytearray(_wav(x, rate))) for i, (x, rate) in enumerate([(whole, audio.RATE), *noisy, resampled, excerpt])]
+    data += [(10 + i, bytearray(_wav(audio.sung(" ".join(_words(50 + i, 200)))))) for i in range(6)]
+    prints = {d: audio.fingerprint(audio.decode_wav(bytes(x))) for d, x in data}
+    for d in range(21, 25):  # far below the half that sets were to share
+        assert len(np.intersect1d(prints[20], prints[d])) < 0.5 * len(np.union1d(prints[20], prints[d])), d
+    links = {(x, y): audio.aligned(prints[x], prints[y]) for x in prints for y in prints if x < y}
+    links = [p for p, (_, votes, shared, wrong) in links.items() if votes and shared >= 0.75 * max(len(prints[i]) for i in p) and wrong <= 0.15]
+    label = {d: d for d in prints}
+    for _ in label:
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+    assert {label[d] for d in range(20, 25)} == {20} and all(label[d] == d for d in range(10, 16))
+    recordings = rows(data, "rec bigint, sound binary")
+    got = audio.same_recordings(audio.fingerprints(recordings, id_column="rec", audio_column="sound")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == label and len(got) == len(data)
+
+
 def _brute(data, k):
     ids, v = np.array([d for d, _ in data]), np.array([x for _, x in data], float)
     out = {}
