@@ -22,7 +22,7 @@ PART_ROWS, MOST_PARTS = 2048, 256
 HIDDEN, EPOCHS = 128, 20
 TARGET_RECALL, TRIALS = 0.96, 512
 BLOCK_ROWS = 4096
-SPARE = 12  # ranked again exactly, besides the number asked for
+EXACT_ROWS = 8192  # products summed exactly at once
 
 
 @dataclass
@@ -203,16 +203,20 @@ def _best(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         return schema.empty_table()
     q, c = _matrix(queries["vector"]), _matrix(candidates["vector"])
     ids = candidates["id"].to_numpy()
-    wide, most = min(k + 1 + SPARE, len(c)), min(k + 1, len(c))
+    most, longest = min(k + 1, len(c)), np.sqrt((c**2).sum(1).max())
     rows, tops, scores = [], [], []
     for i in range(0, len(q), 256):
         part = q[i : i + 256]
-        near = np.argpartition(-(part @ c.T), wide - 1, axis=1)[:, :wide]
-        exact = (part[:, None, :] * c[near]).sum(2)
-        order = np.lexsort((ids[near], -exact), axis=1)[:, :most]
-        rows.append(np.repeat(np.arange(i, i + len(part)), most))
-        tops.append(np.take_along_axis(near, order, 1).reshape(-1))
-        scores.append(np.take_along_axis(exact, order, 1).reshape(-1))
+        fast = part @ c.T
+        # Both sums of a product are this near to each other; who may be among the nearest by exact sums stays, ties included.
+        slack = 4 * c.shape[1] * np.finfo(float).eps * np.sqrt((part**2).sum(1)) * longest
+        row, near = np.nonzero(~(fast < (np.partition(fast, -most, axis=1)[:, -most] - slack)[:, None]))
+        exact = np.concatenate([(part[row[j : j + EXACT_ROWS]] * c[near[j : j + EXACT_ROWS]]).sum(1) for j in range(0, len(row), EXACT_ROWS)])
+        order = np.lexsort((ids[near], -exact, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < most]  # row is sorted, before and after
+        rows.append(i + row[order])
+        tops.append(near[order])
+        scores.append(exact[order])
     return pa.Table.from_arrays(
         [queries["id"].take(pa.array(np.concatenate(rows))), candidates["id"].take(pa.array(np.concatenate(tops))), pa.array(np.concatenate(scores))],
         schema=schema)

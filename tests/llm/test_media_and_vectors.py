@@ -5,6 +5,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,22 @@ def test_recall_against_brute_force(rows):
     assert got[0] == want[0]  # ties go to smaller ids
 
 
+def test_many_distinct_vectors_tie_at_the_cut():
+    rng = np.random.default_rng(6)
+    v = np.unique(rng.integers(0, 2, (3000, 14)), axis=0).astype(float)
+    v = v[v.any(1)]
+    ids = rng.permutation(len(v))
+    table = lambda at: pa.table({"id": pa.array(ids[at]), "vector": pa.array(v[at].tolist())})
+    got = ann._best(table(slice(0, 40)), table(slice(None)), 20).to_pylist()
+    tied = 0
+    for q in range(40):
+        s = v @ v[q]
+        want = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s))[:21]]
+        tied += (s == want[-1][1]).sum() > 33
+        assert [(r["top"], r["score"]) for r in got if r["query_id"] == ids[q]] == want
+    assert tied > 20
+
+
 def test_vectors_that_take_no_part(rows):
     good = [(i, [float(i % 7), 1.0, -float(i)]) for i in range(1, 60)]
     bad = [(60, None), (80, [0.0, 0.0, 0.0]), (100, [1.0, None, 2.0]), (120, [float("nan"), 1.0, 1.0]), (140, [float("inf"), 1.0, 1.0]), (160, [1.0]), (None, [1.0, 2.0, 3.0])]
