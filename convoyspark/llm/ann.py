@@ -19,6 +19,7 @@ from .shared import stored
 SAMPLE = 8192
 GRAPH_NEIGHBOURS = 16
 PART_ROWS, MOST_PARTS = 2048, 256
+FEW_PARTS, FEW_ROWS = 8, 32  # of small tables, too, so many parts are made, unless these would have fewer rows
 HIDDEN, EPOCHS = 128, 20
 TARGET_RECALL, TRIALS = 0.96, 512
 BLOCK_ROWS = 4096
@@ -91,7 +92,7 @@ def fit(vectors: np.ndarray, parts: int, seed: int = 5) -> Router:
     layers = [rng.normal(0, np.sqrt(2 / dims), (dims, HIDDEN)) * scale, np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts)]
     first, second = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
     t = 0
-    for _ in range(EPOCHS if parts > 1 else 0):
+    for _ in range(EPOCHS * -(-SAMPLE // n) if parts > 1 else 0):  # about as many steps for a small sample
         order = rng.permutation(n)
         for i in range(0, n, 256):
             batch = order[i : i + 256]
@@ -151,13 +152,16 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_column: str
     tops = stored(members.groupBy("vector").agg(F.min("id").alias("top"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     n = tops.count()
     sample = tops.orderBy(F.xxhash64("top", F.lit(3)), "top").limit(SAMPLE).select("vector").collect()
-    parts = 1 << max(0, min(MOST_PARTS, n // PART_ROWS) .bit_length() - 1) if n >= 4 * PART_ROWS else 1
+    parts = 1 << max(0, min(MOST_PARTS, max(n // PART_ROWS, min(FEW_PARTS, n // FEW_ROWS))).bit_length() - 1)
     matrix = np.array([r["vector"] for r in sample], float)
     router = fit(matrix, parts) if sample else Router([])
     probes = probes_for(router, matrix, k) if sample else 1
     kind = rows.schema["id"].dataType.simpleString()
     indexed = stored(_routed(tops.select(F.col("top").alias("id"), "vector"), router, 1, kind), "index")
-    asked = stored(_routed(rows.filter(is_query), router, probes, kind), "asked")
+    held = np.zeros(parts, np.int64)
+    for r in indexed.groupBy("part").count().collect():
+        held[r["part"]] = r["count"]
+    asked = stored(_routed(rows.filter(is_query), router, probes, kind, held, k + 1), "asked")
     number = lambda name: F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name)
     sizes = stored(indexed.groupBy("part").agg(number("blocks")).join(asked.groupBy("part").agg(number("shares")), "part"), "sizes")
     by_part = F.broadcast(sizes)  # a row for each partition; a block of candidates meets a share of queries in a task
@@ -178,15 +182,20 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_column: str
         "query_id", "rank", F.col("id").alias(id_column), "score")
 
 
-def _routed(rows: DataFrame, router: Router, probes: int, kind: str) -> DataFrame:
+def _routed(rows: DataFrame, router: Router, probes: int, kind: str, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """Each row once for each of its ``probes`` most probable partitions, and for more of them until these have ``least`` vectors by ``held``."""
+
     def route(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                ranked = router.ranked(_matrix(part.column(1)))[:, :probes]
-                at = pa.array(np.repeat(np.arange(part.num_rows), ranked.shape[1]))
+                ranked = router.ranked(_matrix(part.column(1)))
+                take = np.arange(ranked.shape[1]) < np.full((len(ranked), 1), probes)
+                if held is not None:
+                    take |= held[ranked].cumsum(1) - held[ranked] < least
+                at = pa.array(np.nonzero(take)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(ranked.reshape(-1), pa.int32())], ["id", "vector", "part"])
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(ranked[take].astype(np.int32))], ["id", "vector", "part"])
 
     return rows.mapInArrow(route, f"id {kind}, vector array<double>, part int")
 

@@ -120,6 +120,24 @@ def test_recall_against_brute_force(rows):
     assert got[0] == want[0]  # ties go to smaller ids
 
 
+@pytest.mark.parametrize("n", [500, 12_000])
+def test_recall_with_several_partitions(rows, monkeypatch, n):
+    rng, seen, real = np.random.default_rng(7), [], ann.probes_for
+
+    def probes_for(router, vectors, k):
+        seen.append((len(router.layers[3]), real(router, vectors, k)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(ann, "probes_for", probes_for)
+    centres = rng.normal(0, 1, (40, 24))
+    v = (centres[rng.integers(0, 40, n)] + 0.2 * rng.normal(0, 1, (n, 24))).astype(np.float32)
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    want, got = _brute(data, 20), _search(rows, data)
+    assert len(seen) == 1 and 1 < seen[0][0] and seen[0][1] < seen[0][0]
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
 def test_many_distinct_vectors_tie_at_the_cut():
     rng = np.random.default_rng(6)
     v = np.unique(rng.integers(0, 2, (3000, 14)), axis=0).astype(float)
