@@ -40,21 +40,26 @@ def _or_empty(spark: SparkSession, read, schema: str, strict: bool) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-#: Lines of a file that may belong to its header, whose quoted cells may hold line breaks.
-HEADER_LINES = 16
-_FIRST_RECORD = r"""^\uFEFF?((?:"(?:[^"]|"")*"|[^"\r\n])*)"""
-_CELLS = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
+# Possessive repeats, as others take stack for each step of a long cell.
+_FIRST_RECORD = r"""^\uFEFF?((?:"[^"]*+(?:""[^"]*+)*+"|[^"\r\n]++)*+)"""
+_CELLS = r"""(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*)"""
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """A row for each file: ``file`` and the cells of its header in order, white space tidied.
 
-    Only lines of a file's first block are looked at, and no more than the first few of them are shuffled.
+    Only lines of a file's first block are looked at, and no more than its header's are shuffled. A first line with an open quote goes
+    on to the next line that has an odd number of quotes.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     lines = lines.where("at = 0").withColumn("i", F.monotonically_increasing_id())
-    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("i"))).where(F.col("nth") <= HEADER_LINES)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), "\n")
+    odd = lines.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
+    odd = odd.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("i"))).where("nth <= 2")
+    odd = odd.groupBy("file").agg(F.min("i").alias("opens"), F.max("i").alias("closes"))
+    ends = lines.groupBy("file").agg(F.min("i").alias("start")).join(odd, "file", "left")
+    ends = ends.select("file", F.when(F.col("opens") == F.col("start"), F.col("closes")).otherwise(F.col("start")).alias("end"))
+    first = lines.join(F.broadcast(ends), "file").where("i <= end")  # a row for each file
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]), "\n")
     record = F.regexp_extract(text, _FIRST_RECORD, 1)
     bare = lambda c: F.trim(F.regexp_replace(F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), r"\s+", " "))
     return first.groupBy("file").agg(F.transform(F.regexp_extract_all(record, F.lit(_CELLS), F.lit(1)), bare).alias("cells"))

@@ -115,6 +115,20 @@ def test_csv_columns_go_by_name(spark, tmp_path):
     assert missing == {(f, "path_name") for f in cells}
 
 
+def test_header_of_many_lines(spark, tmp_path):
+    folder = tmp_path / "long"
+    folder.mkdir()
+    note = '"' + "\n".join(f'line {i}, ""so""' for i in range(3000)) + '"'
+    (folder / "a.csv").write_text(f'path_name,{note},"plan\n_id",period\nR1,x,"p\n1",2\n')
+    (folder / "b.csv").write_text('period,plan_id,path_name\n3,"p\n2",R2\n')
+    (folder / "c.csv").write_text('period,"plan_id\n3,p2\n')  # never closed
+    cells = {r.file.rsplit("/", 1)[1]: r.cells for r in files.headers(spark, str(folder)).collect()}
+    assert [c[:12] for c in cells["a.csv"]] == ["path_name", 'line 0, "so"', "plan _id", "period"] and cells["a.csv"][1].endswith('line 2999, "so"')
+    assert cells["b.csv"] == ["period", "plan_id", "path_name"] and cells["c.csv"][0] == "period"
+    missing = {(r.value, r.column) for r in files.header_report(spark, str(folder), ("period", "path_name")).collect()}
+    assert missing == {("c.csv", "path_name")}
+
+
 def test_stream_reads_by_name_and_reports_unnumbered_files(spark, tmp_path):
     folder, target = tmp_path / "arrivals", str(tmp_path / "plans")
     folder.mkdir()
