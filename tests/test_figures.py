@@ -1,8 +1,9 @@
 """Six hand-worked plans: every figure was derived on paper."""
 
-from conftest import KEY_A, KEY_B
 from pyspark.sql import functions as F
 
+from six_plans import KEY_A, KEY_B
+
 from convoyspark.operators import assignments, breakdowns, derive, entities, filters, kpis, lookups, residences, sampling
 from convoyspark.operators.filters import PlanFilter
 
