@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, audio, chat, jaccard, lines, mixing, packing, token_files, toxicity, url_filter
+from convoyspark.functions import geo
+
+from . import ann, audio, chat, jaccard, language, lines, mixing, packing, periodic, repair, token_files, toxicity, url_filter
 from .shared import folder, ship, stored
 
 QUERIES: dict = {}
@@ -174,6 +176,67 @@ def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.same_recordings(prints).withColumnRenamed("doc_id", "conv_id")
 
 
+def _periodic_damage(words: Column, h: Column) -> Column:
+    """Of one text in ten, given by its hash, the words from one place on repeat themselves."""
+    n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+    a = g % n
+    p = F.floor((n - a) / (g % 8 + 3)) + 1
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, at(i)))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    damaged = geo.let(words, lambda w: F.when(F.size(w) > 0, F.array_join(_periodic_damage(w, h), " ")).otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, damaged).otherwise(F.col("text")).alias("text"))
+    found = periodic.with_runs(docs, text="text", least_length=24, least_exponent=3)
+    best = F.aggregate("_runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda acc, r: F.when(
+        acc.isNull() | (r["length"] * acc["period"] > acc["length"] * r["period"]), r).otherwise(acc))  # they come by start, then period
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("_runs").cast("bigint").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.floor(F.col("_best.length") * 1000 / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("_runs", line), ""), 256).alias("runs_sha256"), F.sha2(F.coalesce("_collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+
+
+def damaged_conversations(told: DataFrame) -> DataFrame:
+    """The rows of ``told`` as the contract damages them, by a hash of conversation and turn."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    text = F.when(case == 1, "").when(case == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    return told.filter(case != 0).select(
+        "conv_id", "turn", F.when(case == 4, "user").otherwise(spaced("role")).alias("role"), text.alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(case == 3, 2).otherwise(1))).alias("_copy")).drop("_copy")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = repair.Repair(damaged_conversations(told))
+    found = mended.summary()
+    found = found.join(mended.digests().withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    every = told.select(F.col("conv_id").alias("_id")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+LANGUAGE_INPUT = ("doc_id", "text")
+
+
+@query("op13_compressed_language_id")
+def op13_compressed_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs.select("doc_id", "text", "lang"), ~held_out)
+    told = language.identified(docs.select(*LANGUAGE_INPUT), model)
+    return told.select("doc_id", held_out.alias("held_out"), F.coalesce("_language.nearest", F.lit(language.UNDETERMINED)).alias("lang_pred"),
+                       F.col("_language.margin").alias("score"), F.col("_language.accepted").alias("accepted"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
