@@ -813,6 +813,11 @@ def _gap(a: str, b: str) -> str:
     return f"coalesce({o.metres(f'{a}.lon', f'{a}.lat', f'{b}.lon', f'{b}.lat')}, 'inf'::DOUBLE)"
 
 
+def _leg(a: str, b: str) -> str:
+    """Whole micrometres, so that sums of the same legs are equal in any order."""
+    return f"round({_gap(a, b)} * 1e6)"
+
+
 @query("haversine", f"{o.PLANS}, {_ANCHORS} SELECT plan_id, _sub, round({_gap('sa', 'ea')}, 3) AS metres FROM anchors")
 def haversine(spark, sf):
     ends = geometry.with_anchors(_plans(spark, sf, *ROUTES))
@@ -856,7 +861,7 @@ _CHAINED = f"""pairs AS (SELECT i._row, i._sub, i.plan_id, i.h AS ih, i.t AS it,
   CASE WHEN c < 4 THEN CASE WHEN c & 1 = 1 THEN ih ELSE it END ELSE CASE WHEN c & 1 = 1 THEN eh ELSE et END END AS t1,
   CASE WHEN c < 4 THEN CASE WHEN c & 2 = 2 THEN et ELSE eh END ELSE CASE WHEN c & 2 = 2 THEN it ELSE ih END END AS h2,
   CASE WHEN c < 4 THEN CASE WHEN c & 2 = 2 THEN eh ELSE et END ELSE CASE WHEN c & 2 = 2 THEN ih ELSE it END END AS t2 FROM tries),
- best AS MATERIALIZED (SELECT * FROM laid QUALIFY row_number() OVER (PARTITION BY _row, _sub ORDER BY round({_gap('src', 'h1')} + {_gap('t1', 'h2')} + {_gap('t2', 'dst')}, 6), c) = 1),
+ best AS MATERIALIZED (SELECT * FROM laid QUALIFY row_number() OVER (PARTITION BY _row, _sub ORDER BY {_leg('src', 'h1')} + {_leg('t1', 'h2')} + {_leg('t2', 'dst')}, c) = 1),
  single AS (SELECT *, row_number() OVER (PARTITION BY _row, _sub ORDER BY ord) - 1 AS position,
    CASE WHEN rev THEN t ELSE h END AS h1, CASE WHEN rev THEN h ELSE t END AS t1 FROM turned ANTI JOIN best USING (_row, _sub)),
  chained AS MATERIALIZED (SELECT _row, _sub, plan_id, 0 AS position, CASE WHEN c < 4 THEN 'internal' ELSE 'external' END AS role, h1 AS h, t1 AS t, sa, ea, na, ra, da FROM best
@@ -872,20 +877,69 @@ def connected_routes(spark, sf):
     return _flat_ends(orient.connected_routes(_plans(spark, sf, *ROUTES)), "position", "role")
 
 
-@query("connected_routes_exits")
+_EXIT_LINES = f"""k AS MATERIALIZED (SELECT _row, _sub, plan_id, {o.plan_class(o.filled('plan_type_code', 'plan_type_name'))} AS class, {_CAMP_TRIM} AS camp,
+   coalesce(entrance_asm_code, '') AS code, coalesce(internal_path, '') = '' AS bare FROM p),
+ er AS (SELECT CASE WHEN p_size % 17 = 0 THEN '' ELSE {_PART_LABEL} END AS camp, 'X' || (p_partkey % 40) AS xcode, p_partkey AS xk FROM part WHERE p_partkey % 3 <> 0
+  QUALIFY row_number() OVER (PARTITION BY camp ORDER BY p_partkey) = 1),
+ ep AS (SELECT 'X' || (s_suppkey % 35) AS xcode, {o._pt(o._deg('3991000 + (s_suppkey % 50) * 30'), o._deg('2141000'))} AS xp FROM supplier WHERE s_suppkey % 4 <> 3
+  QUALIFY row_number() OVER (PARTITION BY s_suppkey % 35 ORDER BY s_suppkey) = 1),
+ paths AS (SELECT p_partkey, {_PART_LABEL} AS camp, 'E' || (p_partkey % 5) AS code FROM part WHERE p_partkey % 5 <> 0),
+ pairs AS (SELECT DISTINCT camp, code FROM k WHERE class = 'direct_taseed' AND bare),
+ m AS (SELECT pairs.camp, pairs.code, min(paths.p_partkey) AS pk FROM pairs JOIN paths ON paths.camp = pairs.camp AND (pairs.code = '' OR paths.code = pairs.code) GROUP BY 1, 2),
+ every_line AS (SELECT _row, _sub, ord, role, pts[1] AS h, pts[-1] AS t, {_NONE} AS xp FROM shapes WHERE kind = 'LineString'
+  UNION ALL SELECT _row, _sub, 0, 'internal', {o._pt(o._deg('3993000 + (pk % 50) * 30'), o._deg('2143000'))}, {o._pt(o._deg('3994000'), o._deg('2144000 + (pk % 20) * 30'))}, {_NONE}
+   FROM k JOIN m USING (camp, code) WHERE class = 'direct_taseed' AND bare
+  UNION ALL SELECT _row, _sub, 1, 'tarwia_exit', {o._pt(o._deg('3991000 + (xk % 50) * 30'), o._deg('2141000'))}, {o._pt(o._deg('3992000'), o._deg('2142000 + (xk % 20) * 30'))}, xp
+   FROM k JOIN er USING (camp) LEFT JOIN ep USING (xcode) WHERE class = 'tarwia' AND camp <> ''),
+ plan_lines AS MATERIALIZED (SELECT _row, _sub, list({{'role': role, 'h': h, 't': t, 'xp': xp}} ORDER BY ord) AS ls FROM every_line GROUP BY 1, 2),
+ legs AS MATERIALIZED (SELECT a._row, a._sub, a.plan_id, ls, len(ls) AS n, sa, ea, na, ra, da, coalesce(ra, sa) AS src, coalesce(da, ea) AS dst FROM plan_lines JOIN anchors a USING (_row, _sub)),
+ tries AS (SELECT *, unnest(range(0, CASE WHEN n = 2 THEN 8 ELSE CAST(pow(2, n) AS BIGINT) END)) AS c FROM legs WHERE n >= 2 AND src IS NOT NULL AND dst IS NOT NULL),
+ laid AS (SELECT _row, _sub, c, src, dst, n, list_transform(range(0, n), lambda i: CASE WHEN (c >> i) & 1 = 1
+   THEN {{'role': s[i + 1].role, 'h': s[i + 1].t, 't': s[i + 1].h, 'xp': s[i + 1].xp}} ELSE s[i + 1] END) AS way
+  FROM (SELECT *, CASE WHEN n = 2 AND c >= 4 THEN list_reverse(ls) ELSE ls END AS s FROM tries)),
+ best AS (SELECT _row, _sub, arg_min(way, ({_leg('src', 'way[1].h')} + CASE WHEN n > 1 THEN {_leg('way[1].t', 'way[2].h')} ELSE 0 END
+   + CASE WHEN n > 2 THEN {_leg('way[2].t', 'way[3].h')} ELSE 0 END + {_leg('way[n].t', 'dst')}, c)) AS way FROM laid GROUP BY 1, 2),
+ placed AS (SELECT l._row, l._sub, l.plan_id, best.way IS NULL AS alone, sa, ea, na, ra, da, unnest(coalesce(best.way, ls)) AS x, unnest(range(0, n)) AS position
+  FROM legs l LEFT JOIN best USING (_row, _sub)),
+ flat AS (SELECT *, x.role AS role, x.h AS h, x.t AS t, x.xp AS xp FROM placed),
+ first_turn AS (SELECT * REPLACE (CASE WHEN r THEN t ELSE h END AS h, CASE WHEN r THEN h ELSE t END AS t) FROM (SELECT *, alone AND {_reverse('role', 'h', 't')} AS r FROM flat)),
+ last AS (SELECT *, CASE WHEN role = 'internal' THEN {_reverse('role', 'h', 't')} WHEN role = 'tarwia_exit' AND xp IS NOT NULL THEN {_gap('h', 'xp')} < {_gap('t', 'xp')} ELSE false END AS again FROM first_turn)"""
+
+
+@query("connected_routes_exits", f"""{o.PLANS}, {o._SHAPES}, {_ANCHORS}, {_EXIT_LINES}
+ SELECT plan_id, _sub, CAST(position AS INT) AS position, role, CASE WHEN again THEN t.lon ELSE h.lon END AS head_lon, CASE WHEN again THEN t.lat ELSE h.lat END AS head_lat,
+ CASE WHEN again THEN h.lon ELSE t.lon END AS tail_lon, CASE WHEN again THEN h.lat ELSE t.lat END AS tail_lat FROM last""")
 def connected_routes_exits(spark, sf):
     df = lookups.with_camp_path(_plans(spark, sf, *ROUTES, "camp_label", "entrance_asm_code"), binding.camp_paths(spark, sf))
     df = lookups.with_exit_route(df, binding.exit_routes(spark, sf), binding.exit_points(spark, sf))
     return _flat_ends(orient.connected_routes(df), "position", "role")
 
 
-@query("route_gaps", f"""{o.PLANS}, {o._SHAPES}, {_ANCHORS}, {_LINES}, {_CHAINED}
- SELECT * FROM (SELECT a.plan_id, a._sub, CAST(a.position AS INT) AS position, round({_gap('a.t', 'b.h')}, 3) AS metres FROM chained a JOIN chained b ON a._row = b._row AND a._sub = b._sub
-  AND b.position = a.position + 1 SEMI JOIN (SELECT _row, _sub FROM p WHERE {o.plan_class(o.filled('plan_type_code', 'plan_type_name'))} = 'direct_taseed') q
-  ON a._row = q._row AND a._sub = q._sub)
- WHERE metres BETWEEN 12 AND 5000""")
+def _gaps_sql(shapes: str) -> str:
+    """Only direct plans are chained, and the next line comes by ``lead``."""
+    direct = f"{o.plan_class(o.filled('plan_type_code', 'plan_type_name'))} = 'direct_taseed'"
+    return f"""{o.plans_where(direct)}, {shapes}, {_ANCHORS}, {_LINES}, {_CHAINED},
+ successors AS (SELECT plan_id, _sub, position, t, lead(h) OVER (PARTITION BY _row, _sub ORDER BY position) AS next FROM chained)
+ SELECT plan_id, _sub, CAST(position AS INT) AS position, round({_gap('t', 'next')}, 3) AS metres FROM successors WHERE next IS NOT NULL AND {_gap('t', 'next')} BETWEEN 12 AND 5000"""
+
+
+def _gaps(plans: DataFrame) -> DataFrame:
+    return orient.route_gaps(plans).select("plan_id", s.SUB, "position", F.round("metres", 3).alias("metres"))
+
+
+@query("route_gaps", _gaps_sql(o._SHAPES))
 def route_gaps(spark, sf):
-    return orient.route_gaps(_plans(spark, sf, *ROUTES)).select("plan_id", s.SUB, "position", F.round("metres", 3).alias("metres"))
+    return _gaps(_plans(spark, sf, *ROUTES))
+
+
+@query("route_gaps_shifted", _gaps_sql(o.SHIFTED_SHAPES))
+def route_gaps_shifted(spark, sf):
+    """External lines that stop beside the internal ones, at distances on all sides of the two limits."""
+    corner = lambda end, k: F.regexp_extract(f"{end}_point_geom", r"\(([0-9.]+) ([0-9.]+)\)", k)
+    shift = F.element_at(F.array(*map(F.lit, o.SHIFTS)), (F.col(s.ROW) % 4 + 1).cast("int"))
+    lat = F.round(corner("end", 2).cast("double") + shift, 5).cast("string")
+    shifted = F.concat(F.lit("LINESTRING ("), corner("start", 1), F.lit(" "), corner("start", 2), F.lit(", "), corner("end", 1), F.lit(" "), lat, F.lit(")"))
+    return _gaps(_plans(spark, sf, *ROUTES).withColumn("path_geom", F.when(F.col("path_geom").isNotNull(), shifted)))
 
 
 @query("geo_bounds", f"""{o.PLANS}, {o._SHAPES}, v AS (SELECT unnest(pts) AS q FROM shapes)

@@ -50,8 +50,11 @@ def with_geometry_items(plans: DataFrame) -> DataFrame:
     Order: internal (or looked-up camp path), exit route, exit point, external,
     entrance, start, end, parkings.  Equal parkings become one combined item.
     """
-    df = _with_all_columns(plans)
-    kind = plan_class()
+    # The class is worked out once a row and bound to a variable; written out at every mention it fills the generated code.
+    return _with_all_columns(plans).withColumn("items", geo.let(plan_class(), _items))
+
+
+def _items(kind: Column) -> Column:
     same_parking = F.coalesce(_text("get_parking_geom") == _text("set_parking_geom"), F.lit(False))
     internal = F.coalesce(_text("internal_path"), F.when(kind == "direct_taseed", F.col("camp_path_geom")))
     exit_label = t.first_filled(F.col("exit_name"), F.col("exit_code"), "")
@@ -72,7 +75,7 @@ def with_geometry_items(plans: DataFrame) -> DataFrame:
     array = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(role).alias("role"), text.alias("text"), label.alias("label"))
         for i, (role, text, label) in enumerate(items)])
-    return df.withColumn("items", F.filter(array, lambda x: x["text"].isNotNull()))
+    return F.filter(array, lambda x: x["text"].isNotNull())
 
 
 def with_geometries(plans: DataFrame) -> DataFrame:

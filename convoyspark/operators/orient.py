@@ -1,7 +1,10 @@
 """Direction of travel of route lines: single lines, connected sequences and gaps.
 
-A plan has a handful of lines, all on its own row, so every candidate order and
-direction is scored with array functions inside the row; no shuffle is needed.
+A plan's lines are on its own row, so nothing here shuffles. The directions of a
+sequence are a fold over its lines with two states, the last line as it is or
+turned; each state keeps its least metres and which lines it turned. Folds and
+bindings are array functions, so every distance is written out once and the
+generated code stays small.
 """
 
 from __future__ import annotations
@@ -25,43 +28,53 @@ def _tail(points: Column) -> Column:
     return F.try_element_at(points, F.lit(-1))
 
 
-def should_reverse(points: Column, role: Column) -> Column:
-    """Whether a line runs against the plan, judged by the best anchors available.
+def _with_aims(plans: DataFrame) -> DataFrame:
+    """Add ``aim_`` and ``internal_aim_``: the points that a line should start and end near, and the margin to be turned.
 
-    Internal paths must start at the entrance.  Otherwise the ends are compared
-    with residence and destination, residence alone, start and end, start, or end.
+    Internal paths must start at the entrance.  Otherwise the best anchors available count: residence and
+    destination, residence alone, start and end, start, or end.
     """
-    head, tail = _head(points), _tail(points)
     entrance, residence, destination, start, end = (
         F.col(f"{a}_anchor") for a in ("entrance", "residence", "destination", "start", "end"))
-    margin = F.when(role == "internal", F.lit(INTERNAL_MARGIN_M)).otherwise(F.lit(MARGIN_M))
-    m = geo.distance_m
-    pair = lambda a, b: m(tail, a) + m(head, b) + margin < m(head, a) + m(tail, b)
-    return F.when(F.size(points) < 2, F.lit(False)).otherwise(
-        F.when((role == "internal") & entrance.isNotNull(), m(tail, entrance) < m(head, entrance))
-        .when(residence.isNotNull() & destination.isNotNull(), pair(residence, destination))
-        .when(residence.isNotNull(), m(tail, residence) + margin < m(head, residence))
-        .when(start.isNotNull() & end.isNotNull(), pair(start, end))
-        .when(start.isNotNull(), m(tail, start) + margin < m(head, start))
-        .when(end.isNotNull(), m(head, end) + margin < m(tail, end))
-        .otherwise(F.lit(False)))
+
+    def aim(near: Column, far: Column, margin: float) -> Column:
+        return F.struct(near.alias("near"), far.alias("far"), F.lit(margin).alias("margin"))
+
+    def best(margin: float) -> Column:
+        none = F.lit(None).cast(geo.POINT_TYPE)
+        return (F.when(residence.isNotNull(), aim(residence, destination, margin))
+                .when(start.isNotNull(), aim(start, end, margin)).otherwise(aim(none, end, margin)))
+
+    nowhere = F.lit(None).cast(geo.POINT_TYPE)
+    return plans.withColumns({
+        "aim_": best(MARGIN_M),
+        "internal_aim_": F.when(entrance.isNotNull(), aim(entrance, nowhere, 0.0)).otherwise(best(INTERNAL_MARGIN_M))})
+
+
+def should_reverse(points: Column, role: Column) -> Column:
+    """Whether a line runs against the aim of its plan (see :func:`_with_aims`)."""
+    away = lambda p, aim: F.when(aim.isNull(), F.lit(0.0)).otherwise(geo.distance_m(p, aim))
+    found = F.struct(_head(points).alias("head"), _tail(points).alias("tail"),
+                     F.when(role == "internal", F.col("internal_aim_")).otherwise(F.col("aim_")).alias("aim"))
+    return (F.size(points) >= 2) & geo.let(found, lambda x: (
+        away(x["tail"], x["aim"]["near"]) + away(x["head"], x["aim"]["far"]) + x["aim"]["margin"]
+        < away(x["head"], x["aim"]["near"]) + away(x["tail"], x["aim"]["far"])))
 
 
 def _with_lines(plans: DataFrame) -> DataFrame:
-    """Add ``lines``: role, order and points of every line of two or more points, and the anchors."""
+    """Add ``lines``: role, order and points of every line of two or more points, the anchors and the aims."""
     df = g.with_anchors(g.with_geometries(plans))
     lines = F.transform("geometries", lambda x: F.struct(
         x["ord"].alias("ord"), x["role"].alias("role"), geo.line_points(x["geom"]).alias("points")))
-    df = df.withColumn("lines", F.filter(lines, lambda x: F.coalesce(F.size(x["points"]) >= 2, F.lit(False))))
+    df = geo.with_value(df, "lines", F.filter(lines, lambda x: F.coalesce(F.size(x["points"]) >= 2, F.lit(False))))
     exit_point = F.filter("geometries", lambda x: x["role"] == "tarwia_exit_point")
-    return df.withColumn("exit_anchor", geo.representative_point(F.get(exit_point, F.lit(0))["geom"]))
+    return _with_aims(df.withColumn("exit_anchor", geo.representative_point(F.get(exit_point, F.lit(0))["geom"])))
 
 
 def route_orientation(plans: DataFrame) -> DataFrame:
     """Each line on its own: whether it is reversed, and its oriented ends."""
     lines = _with_lines(plans).select(
-        *g.row_keys(plans), "plan_id", F.explode_outer("lines").alias("l"),
-        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end")]).where("l is not null")
+        *g.row_keys(plans), "plan_id", F.explode_outer("lines").alias("l"), "aim_", "internal_aim_").where("l is not null")
     turned = lines.select(
         *g.row_keys(plans), "plan_id", F.col("l.role").alias("role"), F.col("l.points").alias("points"),
         should_reverse(F.col("l.points"), F.col("l.role")).alias("reversed"))
@@ -71,51 +84,50 @@ def route_orientation(plans: DataFrame) -> DataFrame:
         _head(flow).alias("head"), _tail(flow).alias("tail"))
 
 
-def _best_candidate(df: DataFrame) -> DataFrame:
-    """Add ``sequence_``: the order and directions with the shortest total of start gap, gaps and end gap.
+def _shortest(ends: Column, start: Column, end: Column, order: int) -> Column:
+    """Least length from ``start`` along all lines to ``end``, the order's number, and a mask whose bit i says that line i is turned.
 
-    Candidates are numbered order by order, direction mask by direction mask
-    (bit i turns the i-th line); the lowest number wins ties.
+    Of equal lengths the least mask wins, as if all masks were tried in turn.  Lengths are added in whole micrometres,
+    so that sums are exact and ways of the same legs tie, whatever their order.
     """
-    ends = F.transform("lines", lambda x: F.struct(_head(x["points"]).alias("h"), _tail(x["points"]).alias("t")))
-    df = df.withColumns({
-        "ends_": ends, "n_": F.size("lines"),
-        "from_": F.coalesce("residence_anchor", "start_anchor"), "to_": F.coalesce("destination_anchor", "end_anchor"),
-    }).withColumn("connected_", (F.col("n_") >= 2) & F.col("from_").isNotNull() & F.col("to_").isNotNull())
-    n = F.col("n_")
-    masks = F.expr("shiftleft(1, n_)")
-    orders = F.when(n == 2, F.lit(2)).otherwise(F.lit(1))
-
-    def visited(candidate: Column, i: Column) -> Column:
-        """The line met at position i, counted from 0 (the second order is the reverse of the first)."""
-        return F.when(candidate >= masks, n - 1 - i).otherwise(i)
-
-    def turned(candidate: Column, i: Column) -> Column:
-        return F.floor(candidate % masks / F.pow(F.lit(2.0), i)) % 2 == 1
-
-    def score(candidate: Column) -> Column:
-        path = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(
-            turned(candidate, i),
-            F.struct(F.get("ends_", visited(candidate, i))["t"].alias("h"), F.get("ends_", visited(candidate, i))["h"].alias("t")),
-        ).otherwise(F.get("ends_", visited(candidate, i))))
-        # Walking the path, the accumulator holds the metres so far and the last point reached.
-        walked = F.aggregate(
-            path, F.struct(F.lit(0.0).alias("m"), F.col("from_").alias("at")),
-            lambda acc, leg: F.struct((acc["m"] + geo.distance_m(acc["at"], leg["h"])).alias("m"), leg["t"].alias("at")))
-        return walked["m"] + geo.distance_m(walked["at"], F.col("to_"))
-
-    candidates = F.sequence(F.lit(0), masks * orders - 1)
-    scored = F.transform(candidates, lambda c: F.struct(score(c).alias("metres"), c.alias("candidate")))
-    df = df.withColumn("best_", F.when(F.col("connected_"), F.array_min(scored)["candidate"]))
-    best = F.col("best_")
-    joined = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _turn(
-        F.get("lines", visited(best, i)), turned(best, i)))
-    alone = F.transform("lines", lambda x: _turn(x, should_reverse(x["points"], x["role"])))
-    return df.withColumn(
-        "sequence_", F.when(n == 0, F.array().cast(_LINES)).when(F.col("connected_"), joined).otherwise(alone))
+    leg_length = lambda a, b: F.rint(geo.distance_m(a, b) * 1e6)
+    way = lambda length, mask: F.struct(length.alias("length"), mask.alias("mask"))
+    none, first = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    begin = F.struct(way(F.lit(0.0), none).alias("kept"), start.alias("kept_at"),
+                     way(F.lit(float("inf")), none).alias("turned"), start.alias("turned_at"), first.alias("bit"))
+
+    def onwards(acc: Column, to: Column, bit: Column) -> Column:
+        both = F.array(*[way(acc[s]["length"] + leg_length(acc[f"{s}_at"], to), acc[s]["mask"] + bit) for s in ("kept", "turned")])
+        return F.array_min(both)
+
+    def line(acc: Column, leg: Column) -> Column:
+        return F.struct(
+            onwards(acc, leg["head"], none).alias("kept"), leg["tail"].alias("kept_at"),
+            onwards(acc, leg["tail"], acc["bit"]).alias("turned"), leg["head"].alias("turned_at"), (acc["bit"] * 2).alias("bit"))
+
+    return F.aggregate(ends, begin, line, lambda acc: geo.let(onwards(acc, end, none), lambda best: F.struct(
+        best["length"].alias("length"), F.lit(order).alias("order"), best["mask"].alias("mask"))))
 
 
-_LINES = f"array<struct<ord:int,role:string,points:array<{geo.POINT_TYPE}>>>"
+def _with_sequence(df: DataFrame) -> DataFrame:
+    """Add ``sequence_``: the lines in the order and directions with the shortest total of start gap, gaps and end gap.
+
+    Two lines may change places, more keep their order.  Plans without both ends have each line turned on its own.
+    """
+    ends = F.transform("lines", lambda x: F.struct(_head(x["points"]).alias("head"), _tail(x["points"]).alias("tail")))
+    start, end = F.coalesce("residence_anchor", "start_anchor"), F.coalesce("destination_anchor", "end_anchor")
+
+    def best(x: Column) -> Column:
+        forth, back = (_shortest(e, x["start"], x["end"], i) for i, e in enumerate((x["ends"], F.reverse(x["ends"]))))
+        return F.when(F.size(x["ends"]) == 2, F.least(forth, back)).when(F.size(x["ends"]) > 2, forth)
+
+    found = F.when(start.isNotNull() & end.isNotNull(), geo.let(
+        F.struct(ends.alias("ends"), start.alias("start"), end.alias("end")), best))
+    df = geo.with_value(df, "best_", found)
+    visited = F.when(F.col("best_.order") == 1, F.reverse("lines")).otherwise(F.col("lines"))
+    joined = F.transform(visited, lambda x, i: _turn(x, F.getbit(F.col("best_.mask"), i) == 1))
+    alone = F.transform("lines", lambda x: _turn(x, should_reverse(x["points"], x["role"])))
+    return geo.with_value(df, "sequence_", F.when(F.col("best_").isNotNull(), joined).otherwise(alone))
 
 
 def _turn(line: Column, reverse: Column) -> Column:
@@ -130,26 +142,25 @@ def connected_routes(plans: DataFrame) -> DataFrame:
     end).  Internal lines are then turned to start at the entrance, and exit
     routes to end at the exit point.
     """
-    df = _best_candidate(_with_lines(plans)).select(
+    df = _with_sequence(_with_lines(plans)).select(
         *g.row_keys(plans), "plan_id", F.posexplode_outer("sequence_").alias("position", "l"),
-        *[f"{a}_anchor" for a in ("entrance", "residence", "destination", "start", "end", "exit")]).where("l is not null")
-    points, role = F.col("l.points"), F.col("l.role")
-    leaves_exit = geo.distance_m(_head(points), F.col("exit_anchor")) < geo.distance_m(_tail(points), F.col("exit_anchor"))
+        "aim_", "internal_aim_", "exit_anchor").where("l is not null")
+    points, role, out = F.col("l.points"), F.col("l.role"), F.col("exit_anchor")
     reverse = F.when(role == "internal", should_reverse(points, role)).when(
-        role == "tarwia_exit", F.col("exit_anchor").isNotNull() & leaves_exit).otherwise(F.lit(False))
-    flow = F.when(reverse, F.reverse(points)).otherwise(points)
+        role == "tarwia_exit", out.isNotNull() & (geo.distance_m(_head(points), out) < geo.distance_m(_tail(points), out))).otherwise(F.lit(False))
+    df = df.withColumn("turn_", reverse)
+    flow = F.when(F.col("turn_"), F.reverse(points)).otherwise(points)
     return df.select(
         *g.row_keys(plans), "plan_id", "position", role.alias("role"), flow.alias("points"),
         _head(flow).alias("head"), _tail(flow).alias("tail"))
 
 
 def route_gaps(plans: DataFrame) -> DataFrame:
-    """Gaps between consecutive lines of direct plans that are worth a connector."""
-    df = _best_candidate(_with_lines(plans).where(g.plan_class() == "direct_taseed"))
-    pairs = F.when(F.size("sequence_") >= 2, F.transform(F.sequence(F.lit(1), F.size("sequence_") - 1), lambda i: F.struct(
-        (i - 1).alias("position"),
-        _tail(F.element_at("sequence_", i)["points"]).alias("from_point"),
-        _head(F.element_at("sequence_", i + 1)["points"]).alias("to_point"))))
-    gaps = df.select(*g.row_keys(plans), "plan_id", F.inline_outer(pairs)).where("position is not null").withColumn(
-        "metres", geo.distance_m(F.col("from_point"), F.col("to_point")))
-    return gaps.where(F.col("metres").between(GAP_MIN_M, GAP_MAX_M))
+    """Gaps between consecutive lines of direct plans that are worth a connector: neither closed already nor too far."""
+    df = _with_sequence(_with_lines(plans.where(g.plan_class() == "direct_taseed")))
+    follower = F.slice("sequence_", 2, F.greatest(F.size("sequence_"), F.lit(0)))  # the last line has none
+    gaps = df.select(*g.row_keys(plans), "plan_id", F.posexplode_outer(F.zip_with("sequence_", follower, lambda a, b: F.struct(
+        _tail(a["points"]).alias("from_point"), _head(b["points"]).alias("to_point")))).alias("position", "gap")).where("gap.to_point is not null")
+    measured = geo.with_value(gaps, "metres", geo.distance_m(F.col("gap.from_point"), F.col("gap.to_point")))
+    return measured.where(F.col("metres").between(GAP_MIN_M, GAP_MAX_M)).select(
+        *g.row_keys(plans), "plan_id", "position", "gap.from_point", "gap.to_point", "metres")

@@ -97,6 +97,12 @@ _P = f"""p AS (SELECT *, {key('owner_company_name')} AS company_key, {number_val
 
 PLANS = f"WITH {_PLANS}, {_P} "
 
+
+def plans_where(condition: str) -> str:
+    """The same views over the plans that meet a condition on canonical columns."""
+    return f"WITH {_PLANS}, {_P[:-1]} WHERE {condition}) "
+
+
 _CAMPS = f"""camps AS (SELECT p_partkey AS _row,
  CASE WHEN p_size % 17 = 0 THEN '' ELSE concat(p_size, '/', regexp_extract(p_brand, '[0-9]+', 0)) END AS camp_label,
  CASE WHEN n_nationkey = 7 THEN 'شركة حجاج الداخل' ELSE coalesce(n_name, '') END AS service_company_name,
@@ -182,6 +188,12 @@ _SHAPES = f"""shapes AS (
  UNION ALL SELECT _row, _sub, plan_id, l_linenumber, 9, 'set_parking', 'Point', [{_E}], 'تسليم: ' || CASE WHEN l_partkey % 3 = 1 THEN '' ELSE 'bay/' END || 'Q' || (l_partkey % 5)
    FROM p WHERE l_linenumber = 3 AND l_partkey % 2 = 1)"""
 
+# The external line ends beside the internal one: on it, less than 12 m, some 100 m, or over 5 km away.
+SHIFTS = (0.0, 0.00008, 0.001, 0.05)
+_SHIFT = "CASE _row % 4 " + " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(SHIFTS)) + " END"
+_SHIFTED = _pt(_ELON, f"round({_ELAT} + {_SHIFT}, 5)")
+SHIFTED_SHAPES = _SHAPES.replace(f"CASE WHEN l_linenumber % 2 = 1 THEN [{_S}, {_M}, {_E}] ELSE [{_E}, {_M}, {_S}] END", f"[{_S}, {_SHIFTED}]")
+
 _CAMERAS = f"""cameras AS (SELECT concat(CASE s_suppkey % 6 WHEN 0 THEN 'ARF_ENT_MSH_IN_' WHEN 1 THEN 'MNA_EXT_OUT_TNL_' WHEN 2 THEN 'MZD_PRK_SEC_'
  WHEN 3 THEN 'MKZ_ENT_EXT_' WHEN 4 THEN 'PKG_TRN_RD26_' ELSE '4TH_RNG_PRE_' END,
  CASE WHEN s_suppkey % 4 = 0 THEN 'BRG_BRG_' ELSE '' END, lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS name, s_suppkey,

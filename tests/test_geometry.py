@@ -1,6 +1,7 @@
 """Geometry parsing, distances, orientation and the grid join against brute force."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,55 @@ def test_connected_lines_and_gap(spark):
     assert len(gaps) == 1 and 100 < gaps[0].metres < 110
 
 
+def _metres(a, b):
+    (x1, y1), (x2, y2) = ((math.radians(v) for v in p) for p in (a, b))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * geo.MAP_RADIUS_M * math.asin(math.sqrt(h))
+
+
+def _all_ways(lines, start, end):
+    """The first of all orders and direction masks with the least length; only two lines may change places."""
+    tried = []
+    for order, listed in enumerate([lines, lines[::-1]] if len(lines) == 2 else [lines]):
+        for mask in range(1 << len(lines)):
+            way = [line[::-1] if mask >> i & 1 else line for i, line in enumerate(listed)]
+            legs = [(start, way[0][0]), *((a[-1], b[0]) for a, b in zip(way, way[1:])), (way[-1][-1], end)]
+            tried.append((sum(round(_metres(*leg) * 1e6) for leg in legs), order, mask, way))
+    return min(tried)[3]
+
+
+def test_sequences_equal_enumeration(spark):
+    """Two to five lines a plan; points on a coarse grid, so that ways tie and ends meet."""
+    rng = random.Random(4)
+    spot = lambda: (39.9 + rng.randrange(4) / 100, 21.4 + rng.randrange(4) / 100)
+    text = lambda line: "LINESTRING (" + ", ".join(f"{x} {y}" for x, y in line) + ")"
+    columns = ("internal_path", "path_geom", "entrance_polygon", "get_parking_geom", "set_parking_geom")
+    plans, want = [], {}
+    for k in range(150):
+        lines = [[spot() for _ in range(rng.randint(2, 4))] for _ in range(rng.randint(2, 5))]
+        start, gate = spot(), spot()
+        texts = [text(x) for x in lines] + [None] * (5 - len(lines))
+        plans.append((k, str(k), "efada", "residence", "camp", f"POINT ({start[0]} {start[1]})", f"POINT ({gate[0]} {gate[1]})", *texts))
+        if texts[3] == texts[4] and texts[3]:
+            continue
+        want[k] = _all_ways(lines, start, gate)
+    schema = "_row bigint, plan_id string, plan_type_code string, start_point_type string, end_point_type string, start_geom string, entrance_point_geom string, "
+    df = spark.createDataFrame(plans, schema + ", ".join(f"{c} string" for c in columns))
+    got = {}
+    for r in orient._with_sequence(orient._with_lines(df)).select("_row", F.transform("sequence_", lambda x: x["points"]).alias("lines")).collect():
+        got[r._row] = [[(p.lon, p.lat) for p in line] for line in r.lines]
+    assert {k: got[k] for k in want} == want and max(len(w) for w in want.values()) == 5
+
+
+def test_gap_limits(spark):
+    """Lines that meet, stop 9 m short, leave 111 m, and are 5.6 km apart: only the third gap is bridged."""
+    for apart, bridged in ((0.0, 0), (0.00008, 0), (0.001, 1), (0.05, 0)):
+        df = plan(spark, path_geom=f"LINESTRING (39.89 21.40, 39.90 {21.40 + apart})", internal_path="LINESTRING (39.90 21.40, 39.91 21.40)",
+                  start_geom="POINT (39.89 21.40)", end_geom="POINT (39.91 21.40)")
+        assert orient.route_gaps(df).count() == bridged
+        assert orient.route_gaps(df.withColumn("plan_type_code", F.lit("tarwia"))).count() == 0
+
+
 def test_camera_zone_and_details(spark):
     cameras = spark.createDataFrame([("MZD_ENT_BRG_01", 39.99, 21.35, 0.0, None), ("PKG_OUT_02", 39.98, 21.35, 0.0, " x ")],
                                     "name string, longitude double, latitude double, altitude double, location string")
