@@ -183,8 +183,8 @@ def metric_column(metric: str) -> str:
 # -- classifications ---------------------------------------------------------
 
 
-def plan_type_class(c: Column) -> Column:
-    """Class of a plan type, by what its folded text contains; the first rule wins."""
+def class_of_key(key: Column) -> Column:
+    """Class of a plan type, by what its matching key contains; the first rule wins."""
     # Class -> marks in the text, most specific class first.
     marks = (
         ("direct_taseed", ("direct_taseed", "تصعيد مباشر")),
@@ -193,13 +193,17 @@ def plan_type_class(c: Column) -> Column:
         ("efada", ("efada", "افاضة")),
         ("nafra", ("nafra", "نفرة")),
     )
-    key = t.text_key(c)
     rules = F
     for name, words in marks:
         rules = rules.when(reduce(lambda a, b: a | b, (key.contains(w) for w in words)), F.lit(name))
     return rules.otherwise(key)
 
 
+def plan_type_class(c: Column) -> Column:
+    """Class of a plan type text."""
+    return class_of_key(t.text_key(c))
+
+
 def plan_type_rank(c: Column) -> Column:
     """Position of a plan-type class in the display order; unknown classes come last."""
     position = F.array_position(F.array(*[F.lit(x) for x in s.PLAN_TYPE_ORDER]), plan_type_class(c))

@@ -27,7 +27,8 @@ def _end_text(end: str) -> Column:
 
 
 def plan_class() -> Column:
-    return d.plan_type_class(t.first_filled(F.col("plan_type_code"), F.col("plan_type_name")))
+    """Class of the plan's type; the folded text is long, so it is bound and worked out once."""
+    return geo.let(t.text_key(t.first_filled(F.col("plan_type_code"), F.col("plan_type_name"))), d.class_of_key)
 
 
 def _parking_label(prefix: str, end: str) -> Column:
@@ -50,7 +51,6 @@ def with_geometry_items(plans: DataFrame) -> DataFrame:
     Order: internal (or looked-up camp path), exit route, exit point, external,
     entrance, start, end, parkings.  Equal parkings become one combined item.
     """
-    # The class is worked out once a row and bound to a variable; written out at every mention it fills the generated code.
     return _with_all_columns(plans).withColumn("items", geo.let(plan_class(), _items))
 
 
@@ -86,6 +86,44 @@ def with_geometries(plans: DataFrame) -> DataFrame:
     return df.withColumn("geometries", F.filter(parsed, lambda x: x["geom"].isNotNull())).drop("items")
 
 
+def geometry_id(text: Column) -> Column:
+    """Digest of a geometry text without the white space around it."""
+    return F.md5(t.trim_ws(text).cast("binary"))
+
+
+def distinct_texts(items: DataFrame) -> DataFrame:
+    """Every text of the column ``text`` parsed once: ``geometry_id`` and ``geom`` (texts that do not parse are left out)."""
+    texts = items.select(t.trim_ws(F.col("text")).alias("text")).distinct()
+    named = texts.select(geometry_id(F.col("text")).alias("geometry_id"), "text")
+    return geo.with_value(named, "geom", geo.parse_geometry(F.col("text"))).where("geom is not null").drop("text")
+
+
+def item_rows(plans: DataFrame, *carried: str) -> DataFrame:
+    """One row per plan and geometry text: row keys, ``plan_id``, ``carried``, ``ord``, ``role`` and ``text``, the entrance point (role ``gate``) included."""
+    df = with_geometry_items(plans)
+    gate = F.struct(F.lit(-1).alias("ord"), F.lit("gate").alias("role"), _text("entrance_point_geom").alias("text"), F.lit("").alias("label"))
+    return df.select(*row_keys(plans), "plan_id", *carried, F.explode_outer(F.concat("items", F.array(gate))).alias("item")).where(
+        "item.text is not null").select(*row_keys(plans), "plan_id", *carried, "item.ord", "item.role", "item.text")
+
+
+def with_route_parts(plans: DataFrame) -> DataFrame:
+    """Row keys, ``plan_id``, ``lines`` (order, role and points of every line of two or more points) and the anchors of each plan with a geometry.
+
+    Plans share their texts, so each distinct one is parsed once and joined to the plans' items by its digest; then a
+    plan's few items meet again.  Plans are told apart by their row keys and ``plan_id``.
+    """
+    keys = [*row_keys(plans), "plan_id", "start_point_type", "end_point_type"]
+    items = item_rows(_with_all_columns(plans), "start_point_type", "end_point_type")
+    parts = distinct_texts(items).select("geometry_id", geo.line_points(F.col("geom")).alias("points"), geo.representative_point(F.col("geom")).alias("spot"))
+    placed = items.select(*keys, "ord", "role", geometry_id(F.col("text")).alias("geometry_id")).join(parts, "geometry_id")
+    found = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "role", "points", "spot"))).alias("found_"))
+    spot = lambda role: F.get(F.filter("found_", lambda x: x["role"] == role), F.lit(0))["spot"]
+    lines = F.transform(F.filter("found_", lambda x: F.coalesce(F.size(x["points"]) >= 2, F.lit(False))), lambda x: F.struct(x["ord"], x["role"], x["points"]))
+    return _with_named_anchors(found.withColumns({
+        "lines": lines, "start_anchor": spot("start"), "end_anchor": spot("end"),
+        "entrance_anchor": F.coalesce(spot("gate"), spot("entrance")), "exit_anchor": spot("tarwia_exit_point")}).drop("found_"))
+
+
 def row_keys(df: DataFrame) -> list[str]:
     return [c for c in (s.ROW, s.SUB) if c in df.columns]
 
@@ -138,8 +176,12 @@ def with_anchors(plans: DataFrame) -> DataFrame:
     else:
         spots = {"start_anchor": anchor("start"), "end_anchor": anchor("end"), "area_anchor": spot("entrance_polygon")}
     df = df.withColumns({**spots, "gate_anchor": spot("entrance_point_geom")})
+    return _with_named_anchors(df.withColumn("entrance_anchor", F.coalesce("gate_anchor", "area_anchor")).drop("gate_anchor", "area_anchor"))
+
+
+def _with_named_anchors(df: DataFrame) -> DataFrame:
+    """The residence is the end of that type; the destination is the entrance, else the other end."""
     lives = lambda end: F.coalesce(F.col(f"{end}_point_type") == "residence", F.lit(False))
-    df = df.withColumn("entrance_anchor", F.coalesce("gate_anchor", "area_anchor")).drop("gate_anchor", "area_anchor")
     return df.withColumns({
         "residence_anchor": F.when(lives("start"), F.col("start_anchor")).when(lives("end"), F.col("end_anchor")),
         "destination_anchor": F.coalesce(

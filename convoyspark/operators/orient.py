@@ -1,7 +1,7 @@
 """Direction of travel of route lines: single lines, connected sequences and gaps.
 
-A plan's lines are on its own row, so nothing here shuffles. The directions of a
-sequence are a fold over its lines with two states, the last line as it is or
+Each distinct geometry text is parsed once; then a plan's lines meet on one row and
+all else is local to it. The directions of a sequence are a fold over its lines with two states, the last line as it is or
 turned; each state keeps its least metres and which lines it turned. Folds and
 bindings are array functions, so every distance is written out once and the
 generated code stays small.
@@ -62,13 +62,8 @@ def should_reverse(points: Column, role: Column) -> Column:
 
 
 def _with_lines(plans: DataFrame) -> DataFrame:
-    """Add ``lines``: role, order and points of every line of two or more points, the anchors and the aims."""
-    df = g.with_anchors(g.with_geometries(plans))
-    lines = F.transform("geometries", lambda x: F.struct(
-        x["ord"].alias("ord"), x["role"].alias("role"), geo.line_points(x["geom"]).alias("points")))
-    df = geo.with_value(df, "lines", F.filter(lines, lambda x: F.coalesce(F.size(x["points"]) >= 2, F.lit(False))))
-    exit_point = F.filter("geometries", lambda x: x["role"] == "tarwia_exit_point")
-    return _with_aims(df.withColumn("exit_anchor", geo.representative_point(F.get(exit_point, F.lit(0))["geom"])))
+    """Row keys, ``plan_id``, ``lines``, the anchors and the aims of plans with a geometry."""
+    return _with_aims(g.with_route_parts(plans))
 
 
 def route_orientation(plans: DataFrame) -> DataFrame:

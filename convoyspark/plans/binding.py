@@ -119,6 +119,10 @@ def plans(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     wanted = list(dict.fromkeys([*columns, s.ROW, s.SUB]))
     needed = {dim for name in wanted for dim in PLAN_COLUMNS[name][0]}
     joined = table(spark, sf_dir, "lineitem")
+    if set(wanted) & set(s.GEOMETRY_COLUMNS):
+        # Texts are far larger than the keys they are built from, and a row group is read by one task.  The join with
+        # orders needs this partitioning anyway once orders are too large to broadcast.
+        joined = joined.repartition("l_orderkey")
     for dim, (left, right, used, _) in _DIMENSIONS.items():
         if dim in needed:
             side = table(spark, sf_dir, dim).select(right, *used)
