@@ -149,14 +149,21 @@ def read_gates(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def read_features(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Features of a GeoJSON collection: properties as a map and the geometry as text."""
+    """Features of GeoJSON collections: properties as a map and the geometry as text.
+
+    ``_row`` numbers a file's features from 0 and goes on over files in the order of their paths, a step of 2^33 a file, so
+    that first-row-wins rules hold over several files.  A collection is one JSON value and read by one task, which suits
+    files of up to some hundred MB; larger layers should come as several files.
+    """
 
     def read() -> DataFrame:
         schema = "features array<struct<properties:map<string,string>,geometry:string>>"
-        whole = spark.read.schema(schema).option("multiLine", True).json(path)
-        features = whole.select(F.posexplode("features").alias(s.ROW, "f"))
+        whole = spark.read.schema(schema).option("multiLine", True).json(path).select("features", F.col("_metadata.file_path").alias("file"))
+        listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))  # no content is read
+        places = listed.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint").alias("place"))
+        features = whole.join(places, "file").select("place", F.posexplode_outer("features").alias("pos", "f")).where("pos is not null")
         return features.select(F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geom_text"),
-                               F.col(s.ROW).cast("bigint").alias(s.ROW))
+                               (F.shiftleft("place", 33) + F.col("pos")).alias(s.ROW))
 
     return _or_empty(spark, read, FEATURE_SCHEMA, strict)
 

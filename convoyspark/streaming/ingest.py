@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from convoyspark.operators import derive, validate
 from convoyspark.plans import schema as s
+from convoyspark.sinks import snapshots
 from convoyspark.sources import files
 
 
@@ -19,7 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _publish(rows: DataFrame, target: str, load: int) -> None:
+    """A repeated batch overwrites a folder only before its load is recorded, when nobody reads it."""
     derive.canonical_plans(rows).write.mode("overwrite").parquet(os.path.join(target, f"load_seq={load}"))
+    snapshots.record(rows.sparkSession, target, f"load_seq={load}", load)
 
 
 def _replace(batch: DataFrame, number: int, target: str) -> None:
@@ -78,13 +80,8 @@ def findings(spark: SparkSession, target: str) -> DataFrame:
 
 
 def _current_load(spark: SparkSession, target: str) -> int:
-    try:
-        names = spark.read.parquet(os.path.join(target, "load_seq=*")).inputFiles()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return -1
-    return max((int(n.rsplit("load_seq=", 1)[1].split("/")[0]) for n in names), default=-1)
+    last = snapshots.recorded(spark, target)
+    return -1 if last is None else last[0]
 
 
 def current_snapshot(spark: SparkSession, target: str) -> DataFrame:
@@ -114,8 +111,9 @@ def start_ingest(loads: DataFrame, target: str, checkpoint: str, required: tuple
     return loads.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_plan_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of plan CSV files as they arrive; the load number is the digits that end the file name, null if there are none."""
+def read_plan_stream(spark: SparkSession, folder: str, number: str = r"(\d+)\.csv$") -> DataFrame:
+    """Paths of plan CSV files as they arrive; the load number is what ``number`` finds in the path, by default the digits
+    that end the file name, null if there are none."""
     kind = "path string, modificationTime timestamp, length bigint, content binary"
     arrived = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.csv").load(folder)
-    return arrived.select("path", F.regexp_extract("path", r"(\d+)\.csv$", 1).try_cast("bigint").alias("load_seq"))
+    return arrived.select("path", F.regexp_extract("path", number, 1).try_cast("bigint").alias("load_seq"))

@@ -161,3 +161,37 @@ def test_natural_order_of_long_numbers(spark):
     values = ["7", "a2", "a10", "1" * 25, "a02b", "007x", "", "x", "9" * 19]
     got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v string").orderBy(t.natural_key(F.col("v")), "v").collect()]
     assert got == ["", "7", "007x", "9" * 19, "1" * 25, "a2", "a02b", "a10", "x"]
+
+
+def test_unrecorded_versions_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        sink.current(spark, path)
+    sink.publish(spark.range(3), path, "a")
+    spark.range(9).write.parquet(f"{path}/version=9999-unfinished")  # a writer that died before it recorded its version
+    assert sink.current(spark, path).count() == 3 and sink.current(spark, path).head().source_file == "a"
+    sink.publish(sink.current(spark, path).select("id").limit(1), path, "b")
+    assert sink.current(spark, path).count() == 1
+    sink.clear(spark.range(1), path)
+    assert sink.current(spark, path).count() == 0
+
+
+def test_unrecorded_loads_are_written_again(spark, tmp_path):
+    target = str(tmp_path / "plans")
+    spark.range(1).write.parquet(f"{target}/load_seq=7")  # half a publication
+    folder = tmp_path / "arrivals"
+    folder.mkdir()
+    for seq in (7, 3):
+        write(folder / f"plans_{seq}.csv", plan_csv(plan_id=f"p{seq}", number_of_buses=1))
+    stream.start_ingest(stream.read_plan_stream(spark, str(folder)), target, str(tmp_path / "cp"), s.REQUIRED_COLUMNS).awaitTermination()
+    assert [r.plan_id for r in stream.current_snapshot(spark, target).collect()] == ["p7"]
+
+
+def test_features_of_several_files(spark, tmp_path):
+    feature = '{"properties":{"Name":"%s"},"geometry":{"type":"Point","coordinates":[%d,2]}}'
+    for name, ids in (("b", "cd"), ("a", "xyz"), ("c", "")):
+        body = ",\n".join(feature % (x, i) for i, x in enumerate(ids))
+        write(tmp_path / f"{name}.geojson", '{"type":"FeatureCollection","features":[' + body + "]}")
+    rows = files.districts(files.read_features(spark, str(tmp_path))).orderBy(s.ROW).collect()
+    assert [r.district_name for r in rows] == ["x", "y", "z", "c", "d"] and len({r[s.ROW] for r in rows}) == 5
+    assert [r[s.ROW] for r in rows][:4] == [0, 1, 2, 1 << 33]

@@ -10,8 +10,9 @@ from compare import connect, difference
 SF_DIR = "/root/testdata/sf0.001"
 CHOSEN = ("canon_columns", "entity_keys", "kpis", "breakdowns_gs", "camp_stats", "assignment_totals", "running_max_delta", "completion",
           "company_table_filtered", "center_table", "residence_facts", "residence_coverage", "facets", "stratified_sample",
-          "wildcard_lookup", "camera_plan_join", "plans_csv", "stream_ingest", "camps_csv", "residences_csv", "gates_json", "dq_missing_columns",
-          "dq_row_width", "entity_sort", "by_path_order", "filter_entrance_camp", "available_labels")
+          "camera_plan_join", "plans_csv", "stream_ingest", "camps_csv", "residences_csv", "gates_json", "dq_missing_columns",
+          "dq_row_width", "connected_routes", "connected_routes_exits", "route_gaps_shifted", "camera_stats", "camera_direction", "exit_routes_geojson",
+          "exit_points_geojson", "republished_snapshot", "stream_files", "dq_no_data", "wildcard_lookup", "exit_route_lookup", "entity_sort", "by_path_order", "filter_entrance_camp", "available_labels")
 
 
 @pytest.fixture(scope="module")
