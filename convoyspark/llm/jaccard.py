@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ragged
 from .components import components
-from .shared import stored
+from .shared import lean, stored
 
 COUNTER_BITS = 20
 COUNTERS_PER_ROW = 1 << 16
@@ -116,7 +116,7 @@ def _signatures(docs: DataFrame, sets_of) -> DataFrame:
                  pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], columns)
 
     sketch = ", ".join(f"{c} bigint" for c in SKETCH)
-    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, {sketch}, task int, block int, counts binary")
+    return docs.mapInArrow(lean(measure), f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, {sketch}, task int, block int, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -167,7 +167,7 @@ def _prefixes(docs: DataFrame, sets_of, order: np.ndarray, percent: int) -> Data
                     [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out))),
                      pa.array(sizes, pa.int64())], ["doc_id", "prefix", "n"])
 
-    return docs.mapInArrow(cut, f"doc_id {kind}, prefix array<bigint>, n bigint")
+    return docs.mapInArrow(lean(cut), f"doc_id {kind}, prefix array<bigint>, n bigint")
 
 
 def _token_sets(docs: DataFrame, sets_of) -> DataFrame:
@@ -183,7 +183,7 @@ def _token_sets(docs: DataFrame, sets_of) -> DataFrame:
                     [part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
                     ["node", "tokens"])
 
-    return docs.mapInArrow(all_tokens, f"node {kind}, tokens array<bigint>")
+    return docs.mapInArrow(lean(all_tokens), f"node {kind}, tokens array<bigint>")
 
 
 def _may_link(x: str, y: str, percent: int):
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets_of, pe
     left = own.select(F.col("node").alias("x"), F.col("n_shingles").alias("m"), F.col("sketch").alias("a"))
     right = own.select(F.col("node").alias("y"), F.col("n_shingles").alias("n"), F.col("sketch").alias("b"))
     sized = pairs.join(left, "x").join(right, "y").select("x", "y", "m", "n", "a", "b")
-    pairs = stored(sized.filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).mapInArrow(near, f"x {kind}, y {kind}").distinct(), "near")
+    pairs = stored(sized.filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).mapInArrow(lean(near), f"x {kind}, y {kind}").distinct(), "near")
     kept = docs.join(_few(_ends(pairs)), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(_token_sets(kept, sets_of), "sets")
     left, right = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))

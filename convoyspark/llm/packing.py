@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens
-from .shared import stored
+from .shared import lean, stored
 
 SALTS = 64
 MEMO_SLOTS = 1 << 19  # workers keep this between stages of a pipeline
@@ -72,7 +72,7 @@ def digests(cut: DataFrame, id_column: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), crc], [*keep, "ids_crc32"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "ids")
-    return cut.mapInArrow(sums, f"{rest}, ids_crc32 bigint")
+    return cut.mapInArrow(lean(sums), f"{rest}, ids_crc32 bigint")
 
 
 def place(measured: DataFrame, *, capacity: int = 2048, id_column: str = "doc_id") -> DataFrame:
@@ -103,7 +103,7 @@ def place(measured: DataFrame, *, capacity: int = 2048, id_column: str = "doc_id
                 [*names, "sequence_id", "offset"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema)
-    return ranked.mapInArrow(look_up, f"{rest}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(look_up), f"{rest}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +28,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the machine; a worker goes on to other tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(apply: Callable) -> Callable:
+    """``apply`` for ``mapInArrow``, with what its task has used released at the end."""
+
+    def run(batches):
+        try:
+            yield from apply(batches)
+        finally:
+            release()
+
+    return run
+
+
 _shipped: set[str] = set()
 _SCRATCH = tempfile.TemporaryDirectory()  # the driver's own; Spark reads the file from here as long as it runs
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ragged
-from .shared import stored
+from .shared import lean, stored
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores = broadcast.value.scores(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*names, "_score"])
 
-    return docs.mapInArrow(apply, docs.select("*", F.lit(0.0).alias("_score")).schema)
+    return docs.mapInArrow(lean(apply), docs.select("*", F.lit(0.0).alias("_score")).schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
