@@ -648,6 +648,18 @@ def facets(spark, sf):
     return sampling.facets(_plans(spark, sf, *OWNER, "period", "transport_type_name", "plan_type_name", "start_point_district", "camp_label"))
 
 
+@query("company_rank", f"SELECT company_key, label, row_number() OVER (ORDER BY completion DESC, total_pilgrims DESC, label COLLATE ar) AS position FROM ({_company_sql('true', 'true')})")
+def company_rank(spark, sf):
+    """The place of each row of the company table, as it is shown."""
+    table = entities.company_table(_plans(spark, sf, *_ENTITY_COLUMNS))
+    return ordering.with_position(table, _folder(spark, "order")).select("company_key", "label", "position")
+
+
+@query("facet_order", f"SELECT facet, value, row_number() OVER (ORDER BY facet, label COLLATE ar, value) AS position FROM ({_ORACLES['facets']})")
+def facet_order(spark, sf):
+    return ordering.with_position(facets(spark, sf), _folder(spark, "order")).select("facet", "value", "position")
+
+
 @query("center_options", o.PLANS + f"""SELECT DISTINCT center_key AS value, CASE WHEN center_number <> '' THEN center_number || ' - ' || center_number ELSE '{s.NO_CENTER}' END AS label
  FROM p WHERE starts_with(center_key, 'nation_1')""")
 def center_options(spark, sf):
