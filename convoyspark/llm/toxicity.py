@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ragged
-from .shared import lean, stored
+from .shared import lean, release, stored
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -74,7 +74,8 @@ class Bags:
 def _vocabulary(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of many texts, block by block: the embedding ids of all distinct words and where each word's begin, and
     all distinct pairs of text and word."""
-    keys, sizes, ids, docs, words, known = [], [], [], [], [], 0
+    keys, own, sizes, ids, docs, words, known = [], [], [], [], [], [], 0
+    seen = np.zeros(0, np.uint64)
     for start, stop in ragged.blocks(texts, BLOCK_CHARS):
         bag = Bags(texts[start:stop])
         doc = np.repeat(np.arange(start, stop), np.diff(bag.doc_words))
@@ -82,13 +83,17 @@ def _vocabulary(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
         docs.append((pair // max(1, len(bag.keys))).astype(np.int32))
         words.append((pair % max(1, len(bag.keys)) + known).astype(np.int32))
         keys.append(bag.keys)
-        sizes.append(np.diff(bag.id_at))
-        ids.append(bag.ids.astype(np.int32))
         known += len(bag.keys)
+        new = ~np.isin(bag.keys, seen, assume_unique=True)  # only new words' ids are kept, as most words come again
+        own.append(bag.keys[new])
+        sizes.append(np.diff(bag.id_at)[new])
+        ids.append(ragged.gather(bag.ids, bag.id_at[:-1][new], sizes[-1]).astype(np.int32))
+        seen = np.union1d(seen, own[-1])
     sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    first = np.argsort(np.concatenate(own))  # in the order of ``seen``
     at = np.cumsum(sizes) - sizes
     kept = ragged.gather(ids, at[first], sizes[first])
+    inverse = np.searchsorted(seen, np.concatenate(keys))
     return kept, np.concatenate(([0], np.cumsum(sizes[first]))), np.concatenate(docs), inverse[np.concatenate(words)].astype(np.int32)
 
 
@@ -219,7 +224,12 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns only from rows that are not held out."""
-    return fit(*sample(docs, labels, ~held_out(F.col("doc_id"))))
+    learned = sample(docs, labels, ~held_out(F.col("doc_id")))
+    release()
+    model = fit(*learned)
+    del learned
+    release()  # the driver goes on to other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
