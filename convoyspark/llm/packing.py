@@ -21,6 +21,7 @@ from . import tokens
 from .shared import lean, stored
 
 SALTS = 64
+SLICE_ROWS = 16  # documents whose ids are held at once; texts go through the encoder in blocks of characters
 MEMO_SLOTS = 1 << 19  # workers keep this between stages of a pipeline
 GROUPS = 24
 LARGE_SHARES = (4, 3, 2)
@@ -38,8 +39,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int
     def cut(batches):
         encoder = tokens.encoder(tokenizer, MEMO_SLOTS)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
                 flat, counts = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id).astype("<u4")
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int
                     [id_column, "piece", "start", "length", "ids"])
 
     return docs.select(id_column, text_column).mapInArrow(
-        cut, f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids binary")
+        lean(cut), f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 def digests(cut: DataFrame, id_column: str = "doc_id") -> DataFrame:
