@@ -6,6 +6,10 @@ counters of fixed size over the hashes of *all* n-grams; counters that happen to
 gives the same links. Equal sets are one node from the start. The suffix filter bounds the symmetric difference of two sets
 from below by the differing bits of their parity sketches.
 
+N-grams whose prefix rows name the same nodes (as those of one shared passage do) are one: a single n-gram of each such list of
+nodes goes on, so two nodes meet once per list and not once per n-gram. The filters hold at any n-gram that two prefixes share,
+so no link is lost.
+
 Not all pairs of a large group are listed. First every node is compared with its neighbour and with the most central node in each
 n-gram's group, and what is linked becomes one component; then all remaining pairs *between* components are compared. So large
 groups of near copies cost about their size, and no link that would join two components is lost. Pairs are distinct before
@@ -25,7 +29,7 @@ from . import ragged
 from .components import components
 from .shared import lean, stored
 
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 COUNTERS_PER_ROW = 1 << 16
 SKETCH_LONGS = 8
 MOST_SKETCH_BITS = 20
@@ -97,7 +101,8 @@ def _signatures(docs: DataFrame, sets_of) -> DataFrame:
                 part = batch.slice(i, 256)
                 sets = sets_of(part.column(1).to_pylist())
                 tokens = np.concatenate(sets)
-                totals += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(totals))
+                at, times = np.unique(tokens >> np.uint64(64 - COUNTER_BITS), return_counts=True)
+                totals[at.astype(np.int64)] += times
                 d1 = np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 d2 = np.array([ragged.mix(x ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 sketches = [_sketch(x) for x in sets]
@@ -267,7 +272,7 @@ def _links(docs: DataFrame, own: DataFrame, signatures: DataFrame, classes: Data
     prefixes = _prefixes(singles.select("doc_id", "text"), sets_of, _order(signatures), percent)
     rows = prefixes.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     group = Window.partitionBy("token")
-    met = rows.withColumn("_n", F.count("*").over(group)).filter("_n > 1").drop("_n")
+    met = _one_per_list(rows)
     met = met.withColumn("b", F.lag("node").over(group.orderBy("n", "node"))).withColumn("c", F.first("node").over(group.orderBy("pos", "n", "node")))
     met = stored(met, "shared")
     first = _pairs(met.select("node", F.explode(F.array("b", "c")).alias("other")), "node", "other")
@@ -282,5 +287,17 @@ def _links(docs: DataFrame, own: DataFrame, signatures: DataFrame, classes: Data
     return links.unionByName(_verified(_pairs(apart, "xnode", "ynode"), docs, classes, sets_of, percent, confirm))
 
 
+def _one_per_list(rows: DataFrame) -> DataFrame:
+    """Rows (``node``, ``n``, ``pos``, ``token``) of n-grams with two rows or more, of one n-gram for each list of nodes that n-grams have.
+    Lists are told apart by their length and by sums of four 31-bit hashes of their nodes, so that repeated rows count, too."""
+    group = Window.partitionBy("token")
+    halves = [f(F.xxhash64("node", F.lit(seed))) for seed in (1, 2) for f in (lambda h: h.bitwiseAND(0x7FFFFFFF), lambda h: F.shiftrightunsigned(h, 33))]
+    count, *sums = F.count("*").over(group), *(F.sum(h).over(group) for h in halves)
+    met = rows.select("*", count.alias("_n"), *(s.alias(f"_s{i}") for i, s in enumerate(sums))).filter("_n > 1")
+    met = stored(met.select(*rows.columns, F.xxhash64("_n", "_s0", "_s1").alias("l1"), F.xxhash64("_n", "_s2", "_s3").alias("l2")), "met")
+    kept = met.groupBy("l1", "l2").agg(F.min("token").alias("token")).select("token")
+    return met.drop("l1", "l2").join(kept, "token", "left_semi")
+
+
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return stored(rows.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "pairs")
