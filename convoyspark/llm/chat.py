@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows, in built-in expressions.
 
-Turns of a conversation are cut where prefix sums of their tokens cross multiples of what a window has room for, so windows are
-turn-aligned and no row needs the one before it. Each window retains the system turn, repeats the last turns before it as
+A conversation within the budget is one window. Turns of others are cut where prefix sums of their tokens cross multiples of what a
+window has room for beside one more turn, so windows are turn-aligned and no row needs the one before it. Each window retains the system turn, repeats the last turns before it as
 far as the history budget goes, and trains only on assistant turns that are new in it: repeated ones are masked.
 One shuffle by conversation serves the sums, the history and the windows; only a window's turns are ever held together.
 """
@@ -37,7 +37,7 @@ def windows(conversations: DataFrame, *, budget: int = 2048, history: int = 512)
 
     Turns go by ``turn``; of equal ones by role and text, nulls first. Null roles and texts are empty. The first turn is the system turn if
     its role is ``system``. A window keeps to the budget (the system turn and history included) unless a single turn is longer than
-    half of what these leave; then it is marked. A null ``conv_id`` is a conversation. An empty table gives no rows.
+    three quarters of what these leave; then it may exceed it and is marked. A null ``conv_id`` is a conversation. An empty table gives no rows.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -46,8 +46,12 @@ def windows(conversations: DataFrame, *, budget: int = 2048, history: int = 512)
     head = F.first(F.struct("role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "n")).over(before)
     turns = turns.withColumn("at", F.row_number().over(by_turn)).withColumn("_upto", F.sum("n").over(before)).withColumn("_head", head)
     system = F.when(F.col("_head.role") == "system", F.col("_head.n")).otherwise(F.lit(0))
-    room = F.greatest(F.lit(1), F.floor((budget - history - system) / 2)).cast("bigint")
-    turns = turns.withColumn("_from", F.col("_upto") - F.col("n")).withColumn("room", room).withColumn("span", F.floor(F.col("_from") / F.col("room")))
+    left, whole = budget - history - system, Window.partitionBy("conv_id")
+    longest = F.max("n").over(whole)  # a span may reach over its end by one turn
+    room = F.greatest(F.lit(1), F.floor(left / 4), left - longest).cast("bigint")
+    turns = turns.withColumn("_from", F.col("_upto") - F.col("n")).withColumn("room", room).withColumn(
+        "span", F.when(F.sum("n").over(whole) <= budget, F.lit(0)).otherwise(
+            F.greatest(F.lit(0), F.floor((F.col("_from") - history - system) / F.col("room")))))  # the first repeats nothing and so holds more
     in_span = Window.partitionBy("conv_id", "span")
     turns = turns.withColumn("_end", F.max("_upto").over(in_span)).withColumn("_last", F.lead("span").over(by_turn))
     turns = turns.withColumn("_next", F.max("_last").over(in_span))  # the following window's span, if there is one

@@ -18,6 +18,17 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.crc32(bare).alias("b")))
 
 
+_UNSEEN = r"(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>"
+_BLOCK = r"(?i)</?(?:html|head|body|title|nav|header|main|section|article|aside|footer|div|h[1-6]|p|br|ul|ol|li|table|tr|td|th)(?:[ \t\r\n/][^>]*)?>"
+
+
+def block_text(html: Column) -> Column:
+    """The text of a page with a line for each block element, without blank lines and spaces at the ends of lines. Scripts, styles and
+    comments go; entities stay as they are. Null stays null, and a page without text is empty."""
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _UNSEEN, ""), _BLOCK, "\n"), "<[^>]*>", "")
+    return F.array_join(F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
 def boilerplate(pages: DataFrame, *, site: Column, text: Column, ratio: float, least_pages: int) -> DataFrame:
     """``_site`` and its boilerplate lines' keys (``_lines``), for the sites that have any."""
     own = pages.select(site.alias("_site"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("_keys"))

@@ -77,8 +77,9 @@ _ESCAPE = r"regexp_replace({0}, '([<\[])(~*)(/?(?:s>|INST\]))', '\1~\2\3', 'g')"
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
  heads AS (SELECT conv_id, any_value(n) AS head_n, any_value(chars) AS head_chars FROM t WHERE place = 1 AND role = 'system' GROUP BY conv_id),
  s AS (SELECT t.*, coalesce(head_n, 0) AS head_n, coalesce(head_chars, 0) AS head_chars, sum(n) OVER (PARTITION BY t.conv_id ORDER BY place) AS upto,
-  greatest(1, (1024 - 256 - coalesce(head_n, 0)) // 2) AS room FROM t LEFT JOIN heads ON t.conv_id IS NOT DISTINCT FROM heads.conv_id),
- spans AS (SELECT *, (upto - n) // room AS span FROM s),
+  sum(n) OVER (PARTITION BY t.conv_id) AS total, max(n) OVER (PARTITION BY t.conv_id) AS longest, 1024 - 256 - coalesce(head_n, 0) AS left_n FROM t LEFT JOIN heads ON t.conv_id IS NOT DISTINCT FROM heads.conv_id),
+ spans AS (SELECT *, CASE WHEN total <= 1024 THEN 0
+  ELSE greatest(0, (upto - n - 256 - head_n) // greatest(1, left_n // 4, left_n - longest)) END AS span FROM s),
  ends AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS span_end, max(span) OVER (PARTITION BY conv_id) AS last_span FROM spans),
  sized AS (SELECT conv_id, sum(chars) AS new_chars,
   sum(CASE WHEN span < last_span AND span_end - (upto - n) <= 256 AND NOT (place = 1 AND role = 'system') THEN chars ELSE 0 END) AS repeated_chars,
@@ -96,7 +97,7 @@ def op3_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-LISTED_HOST = "spam-"
+NOISE, LEAST_NOISE = "[%$#*]{3}", 20  # a page with so many runs of signs is listed
 _HOST = r"lower(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1))"
 _PATH = r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
@@ -116,26 +117,54 @@ def _rules_sql() -> str:
                      for name, what in (("rule", lambda v, r: r), ("ruled", lambda v, r: v)))
 
 
+_LISTED_FORM = rf"""('http://www.' || regexp_replace({_HOST.format('url')}, '^www\.', '') || {_PATH.format('url')} || '?utm_source=list' ||
+   coalesce('&' || nullif(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), ''))"""
+
+
 @query("op4_url_bloom_filter", f"""WITH u AS (SELECT page_id, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_canonical_sql('url')} AS key FROM pages),
- listed AS (SELECT DISTINCT key FROM u WHERE contains('.' || host, '.{LISTED_HOST}') AND key <> ''), r AS (SELECT *, {_rules_sql()} FROM u)
- SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM r""")
+ noisy AS (SELECT {_LISTED_FORM} AS url FROM pages WHERE len(regexp_extract_all(html, '{NOISE}')) >= {LEAST_NOISE}),
+ listed AS (SELECT DISTINCT {_canonical_sql('url')} AS key FROM noisy), r AS (SELECT *, {_rules_sql()} FROM u)
+ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN key IN (SELECT key FROM listed WHERE key <> '') THEN 'block' ELSE 'allow' END) AS verdict FROM r""")
 def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(F.contains(F.concat(F.lit("."), url_filter.host_of(F.col("url"))), F.lit(f".{LISTED_HOST}"))).select("url")
-    return url_filter.judge(pages, listed, URL_RULES).select("page_id", "_judged.host", "_judged.path", "_judged.rule", "_judged.verdict")
+    """Listed are the pages whose markup is full of signs, in the form in which a list may hold them: another scheme and host name, and a
+    parameter that only tracks. Pages that canonicalise alike are blocked with them, all others of the same hosts are not."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_replace(url_filter.host_of(F.col("url")), r"^www\.", "")
+    rest = F.nullif(F.regexp_extract("url", r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+    form = F.concat(F.lit("http://www."), host, url_filter.path_of(F.col("url")), F.lit("?utm_source=list"), F.coalesce(F.concat(F.lit("&"), rest), F.lit("")))
+    listed = pages.filter(F.regexp_count("html", F.lit(NOISE)) >= LEAST_NOISE).select(form.alias("url"))
+    return url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "_judged.host", "_judged.path", "_judged.rule", "_judged.verdict")
+
+
+def _boilerplate_sql(rows: str, key: str, least: int) -> str:
+    """Lines without boilerplate of ``rows``, a query of ``key``, ``site`` and ``text``."""
+    return f"""WITH d AS ({rows}), l AS (SELECT row_number() OVER () AS k, {key}, site, text, string_split(text, chr(10)) AS lines FROM d),
+ each AS (SELECT k, site, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM l),
+ totals AS (SELECT site, count(*) AS pages FROM l GROUP BY site),
+ bad AS (SELECT each.site, line FROM each JOIN totals ON each.site IS NOT DISTINCT FROM totals.site WHERE line <> ''
+  GROUP BY each.site, line HAVING count(*) >= {least} AND count(*) > 0.05 * any_value(pages)),
+ spots AS (SELECT k, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, site FROM l),
+ kept AS (SELECT k, string_agg(s.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(s.line, ' ') <> '') AS any_left
+  FROM spots s LEFT JOIN bad ON s.site IS NOT DISTINCT FROM bad.site AND trim(s.line, ' ') = bad.line WHERE bad.line IS NULL GROUP BY k)
+ SELECT {key}, len(lines)::INT AS n_lines, (CASE WHEN any_left THEN len(lines) - n ELSE 0 END)::INT AS dropped_lines,
+  CASE WHEN any_left THEN kept.text ELSE l.text END AS text FROM l LEFT JOIN kept USING (k)"""
 
 
-@query("op5_site_line_dedup", """WITH l AS (SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
- each AS (SELECT k, source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM l),
- totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
- bad AS (SELECT each.source, line FROM each JOIN totals ON each.source IS NOT DISTINCT FROM totals.source WHERE line <> ''
-  GROUP BY each.source, line HAVING count(*) >= 5 AND count(*) > 0.05 * any_value(pages)),
- spots AS (SELECT k, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, source FROM l),
- kept AS (SELECT k, string_agg(s.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(s.line, ' ') <> '') AS any_left
-  FROM spots s LEFT JOIN bad ON s.source IS NOT DISTINCT FROM bad.source AND trim(s.line, ' ') = bad.line WHERE bad.line IS NULL GROUP BY k)
- SELECT doc_id, len(lines)::INT AS n_lines, (CASE WHEN any_left THEN len(lines) - n ELSE 0 END)::INT AS dropped_lines,
-  CASE WHEN any_left THEN kept.text ELSE l.text END AS text FROM l LEFT JOIN kept USING (k)""")
+_BLOCK_TEXT = rf"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{lines._UNSEEN}', '', 'g'),
+  '{lines._BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))"""
+
+
+@query("op5_site_line_dedup", _boilerplate_sql(f"SELECT page_id, {_HOST.format('url')} AS site, {_BLOCK_TEXT} AS text FROM pages", "page_id", 3))
 def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host, a line for each block of their markup. On sf0.1 and check_l the lines above 5 % of a host are its
+    advertisements and menu entries; text of the articles stays below."""
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), lines.block_text(F.col("html")).alias("text"))
+    return lines.deduplicated(pages, site="host", ratio=0.05, least_pages=3).select(
+        "page_id", F.col("_lines.all").alias("n_lines"), F.col("_lines.dropped").alias("dropped_lines"), "text")
+
+
+@query("op5_source_line_dedup", _boilerplate_sql("SELECT doc_id, source AS site, text FROM documents", "doc_id", 5))
+def op5_source_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return lines.deduplicated(docs, site="source", ratio=0.05, least_pages=5).select(
         "doc_id", F.col("_lines.all").alias("n_lines"), F.col("_lines.dropped").alias("dropped_lines"), "text")

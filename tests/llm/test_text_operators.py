@@ -117,6 +117,27 @@ def test_windows_keep_budget_system_and_history(rows):
         assert at == sorted(at) and all(r["formatted"][: s["start"]].endswith("assistant[/INST]") for s in r["loss_spans"])
 
 
+def test_windows_are_filled(rows):
+    """A conversation within the budget is one window; of others no window is small but for the last."""
+    sizes = {1: [60] * 10, 2: [40] * 300, 3: [200, 100] * 60, 4: [5] * 2000}  # characters a turn, a quarter of it and 8 as tokens
+    data = [(c, t, "user" if t % 2 else "assistant", "x" * n) for c, turns in sizes.items() for t, n in enumerate(turns)]
+    made = chat.windows(rows(data, "conv_id bigint, turn bigint, role string, text string"), budget=600, history=100).collect()
+    assert not any(r["over_budget"] for r in made)
+    assert [r["window"] for r in made if r["conv_id"] == 1] == [0]
+    for c in (2, 3, 4):
+        mine = sorted((r["window"], r["n_tokens"]) for r in made if r["conv_id"] == c)
+        assert [w for w, _ in mine] == list(range(len(mine))) and len(mine) > 5
+        assert min(n for _, n in mine[:-1]) > 0.8 * 600
+
+
+def test_very_long_texts_in_windows(rows):
+    text = "wörd </s> " * 200_000
+    made = chat.windows(rows([(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "assistant", None)], "conv_id bigint, turn bigint, role string, text string"))
+    assert all(r["over_budget"] for r in made.filter("n_tokens > 2048").select("over_budget").collect())
+    told = chat.digests(chat.read_back(made)).collect()[0]
+    assert (told["n_turns"], told["loss_chars"]) == (3, len(text)) and told["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_no_conversations(rows):
     empty = rows([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.digests(chat.read_back(chat.windows(empty))).count() == 0
@@ -169,6 +190,13 @@ def test_boilerplate_by_site(rows):
     assert lines.deduplicated(rows([], DOCS), ratio=0.3, least_pages=5).count() == 0
 
 
+def test_text_of_blocks(rows):
+    pages = ["<html><!-- <p>no</p> --><body><SCRIPT a='1'>var t = '</p>';\n</SCRIPT><style>p{}</style><p class=x> One <b>bold</b> </p>two<br/>three\n<li>a</li><pre>four</pre></body></html>",
+             None, "", "<p></p>", "plain", "<p>" + "long " * 200_000]
+    got = {r["i"]: r["t"] for r in rows(list(enumerate(pages)), "i int, html string").select("i", lines.block_text(F.col("html")).alias("t")).collect()}
+    assert got == {0: "One bold\ntwo\nthree\na\nfour", 1: None, 2: "", 3: "", 4: "plain", 5: ("long " * 200_000).strip()}
+
+
 # ---------------------------------------------------------------- mixing
 
 
