@@ -18,7 +18,7 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.crc32(bare).alias("b")))
 
 
-_UNSEEN = r"(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>"
+_UNSEEN = r"(?is)<(?:!--.*?--|(?:script|style)[^>]*>.*?</(?:script|style))>"
 _BLOCK = r"(?i)</?(?:html|head|body|title|nav|header|main|section|article|aside|footer|div|h[1-6]|p|br|ul|ol|li|table|tr|td|th)(?:[ \t\r\n/][^>]*)?>"
 
 

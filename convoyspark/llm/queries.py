@@ -157,9 +157,9 @@ _BLOCK_TEXT = rf"""array_to_string(list_filter(list_transform(string_split(regex
 @query("op5_site_line_dedup", _boilerplate_sql(f"SELECT page_id, {_HOST.format('url')} AS site, {_BLOCK_TEXT} AS text FROM pages", "page_id", 3))
 def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host, a line for each block of their markup. On sf0.1 and check_l the lines above 5 % of a host are its
-    advertisements and menu entries; text of the articles stays below."""
+    advertisements and menu entries; text of the articles stays below. Markup is read once: texts are stored, as they are needed twice."""
     pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), lines.block_text(F.col("html")).alias("text"))
-    return lines.deduplicated(pages, site="host", ratio=0.05, least_pages=3).select(
+    return lines.deduplicated(stored(pages, "page-texts"), site="host", ratio=0.05, least_pages=3).select(
         "page_id", F.col("_lines.all").alias("n_lines"), F.col("_lines.dropped").alias("dropped_lines"), "text")
 
 
