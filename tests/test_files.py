@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from convoyspark.operators import validate
 from convoyspark.plans import schema as s
@@ -195,3 +196,16 @@ def test_features_of_several_files(spark, tmp_path):
     rows = files.districts(files.read_features(spark, str(tmp_path))).orderBy(s.ROW).collect()
     assert [r.district_name for r in rows] == ["x", "y", "z", "c", "d"] and len({r[s.ROW] for r in rows}) == 5
     assert [r[s.ROW] for r in rows][:4] == [0, 1, 2, 1 << 33]
+
+
+def test_collections_are_cut_into_blocks_in_the_order_of_rows(spark, tmp_path):
+    """A collection is read by one task, so rows far apart must not share a file; their order stays."""
+    import __spark_entry__ as entry
+
+    rows = [4, 8, 200_000, 1 << 40, -4, 1, 65_537, None]
+    df = spark.createDataFrame([(r, f"c{r}") for r in rows], f"{s.ROW} bigint, code string").withColumn("shape", F.array(F.lit(1.0), F.lit(2.0)))
+    path = entry._collections(df, str(tmp_path / "layers"), {"code": F.col("code")}, "Point", 4)
+    read = files.read_features(spark, f"{path}/part=*/block=*")
+    assert [r.code for r in read.orderBy(s.ROW).select(F.col("properties")["code"].alias("code")).collect()] == [
+        "c-4", "c4", "c8", "c200000", f"c{1 << 40}", "c1", "c65537", "cNone"]
+    assert len(list((tmp_path / "layers").glob("part=0/block=*"))) == 4
