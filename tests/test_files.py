@@ -209,3 +209,17 @@ def test_collections_are_cut_into_blocks_in_the_order_of_rows(spark, tmp_path):
     assert [r.code for r in read.orderBy(s.ROW).select(F.col("properties")["code"].alias("code")).collect()] == [
         "c-4", "c4", "c8", "c200000", f"c{1 << 40}", "c1", "c65537", "cNone"]
     assert len(list((tmp_path / "layers").glob("part=0/block=*"))) == 4
+
+
+def test_headers_are_reported_from_compressed_files(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    def few_plans(spark, sf, *columns):
+        return spark.range(50).select(*[F.concat(F.lit('{"x":"'), F.col("id").cast("string"), F.lit('"}')).alias(c) for c in columns])
+
+    monkeypatch.setattr(entry, "_plans", few_plans)
+    monkeypatch.setattr(entry, "_folder", lambda spark, name: str(tmp_path / name))
+    missing = {r["column"] for r in entry.queries()["dq_missing_columns"](spark, "").collect()}
+    assert missing == {"path_name", "timing_start_at_hijri", "timing_end_at_hijri"}
+    written = list((tmp_path / "headers").glob("part-*"))
+    assert written and all(f.name.endswith(".csv.gz") for f in written)
