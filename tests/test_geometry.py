@@ -34,6 +34,22 @@ def test_parse(spark, text, kind, sizes):
         assert g.type == kind and [len(p) for p in g.parts] == sizes
 
 
+@pytest.mark.parametrize("usual, odd", [
+    ("POINT (+39.9 21.)", "POINT ( +39.9  21. )"),
+    ("POINT(-.5 -0)", "POINT( -.5  -0)"),
+    ("LINESTRING (" + ", ".join(f"{i}.5 {i}" for i in range(20_000)) + ")", "LINESTRING ( " + " , ".join(f"{i}.5  {i}" for i in range(20_000)) + ")"),
+    ("POLYGON ((0 0,0 1,1 1,0 0))", "POLYGON  (( 0 0,0 1,1 1,0 0))"),
+    (LINE, LINE.replace("[39.90,", "[ 39.90,  ")),
+    ('{"type":"Point","coordinates":[39.9, -21]}', '{ "type":"Point","coordinates":[39.9,-21,7]}'),
+    ('{"type": "Polygon", "coordinates": [[[0,0],[0.25,1],[1,1],[0,0]]]}', '{"coordinates": [[[0,0],[0.25,1],[1,1],[0,0]]], "type": "Polygon"}'),
+])
+def test_usual_texts_are_matched_for_their_numbers(spark, usual, odd):
+    df = spark.createDataFrame([(usual, odd)], "usual string, odd string")
+    row = df.select(F.col("usual").rlike(geo._PLAIN).alias("u"), F.col("odd").rlike(geo._PLAIN).alias("o"),
+                    geo.parse_geometry(F.col("usual")).alias("a"), geo.parse_geometry(F.col("odd")).alias("b")).head()
+    assert row.u and not row.o and row.a.type and row.a == row.b
+
+
 def plan(spark, **cells):
     base = dict(plan_id="p", plan_type_code="direct_taseed", plan_type_name=None, start_point_type="residence", end_point_type="camp")
     base |= cells
