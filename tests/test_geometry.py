@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoyspark.functions import geo
-from convoyspark.operators import lookups, orient, proximity
+from convoyspark.operators import geometry, lookups, orient, proximity
 
 LINE = '{"type":"LineString","coordinates":[[39.90,21.40],[39.91,21.40]]}'
 
@@ -50,6 +50,13 @@ def test_usual_texts_are_matched_for_their_numbers(spark, usual, odd):
     assert row.u and not row.o and row.a.type and row.a == row.b
 
 
+def test_anchor_texts_share_one_parser(spark):
+    found = geometry.with_anchors(plan(spark, start_geom="POINT (1 2)", end_point_geom="POINT (3 4)", entrance_polygon="POLYGON ((0 0, 0 2, 2 2, 2 0))"))
+    row = found.select("start_anchor", "end_anchor", "entrance_anchor", "destination_anchor").head()
+    assert [tuple(x) for x in row] == [(1, 2), (3, 4), (1, 1), (1, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 3
+
+
 def plan(spark, **cells):
     base = dict(plan_id="p", plan_type_code="direct_taseed", plan_type_name=None, start_point_type="residence", end_point_type="camp")
     base |= cells
