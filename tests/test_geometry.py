@@ -177,3 +177,29 @@ def test_camera_zone_and_details(spark):
 def test_color_ramp(spark):
     df = spark.createDataFrame([(0.0,), (0.125,), (1.0,)], "x double").select(geo.density_color(F.col("x")).alias("c"))
     assert [r.c for r in df.collect()] == ["rgb(255,255,204)", "rgb(255,236,161)", "rgb(128,0,38)"]
+
+
+def test_cameras_of_one_place_are_compared_once(spark):
+    """Cameras at the same places share a stand-in; one listed twice or at two places passes a plan once."""
+    rows = [("a", 39.905, 21.40009), ("b", 39.905, 21.40009), ("b", 39.905, 21.40009), ("c", 39.905, 21.40009), ("c", 39.906, 21.40009),
+            ("far", 39.905, 21.41), (None, 39.905, 21.40009), ("nowhere", None, 21.4)]
+    cameras = spark.createDataFrame(rows, "name string, longitude double, latitude double")
+    places, members = proximity._stand_ins(cameras)
+    assert sorted(tuple(r) for r in places.collect()) == [
+        ("a", 39.905, 21.40009), ("c", 39.905, 21.40009), ("c", 39.906, 21.40009), ("far", 39.905, 21.41)]
+    assert sorted(tuple(r) for r in members.collect()) == [("a", "a"), ("a", "b"), ("c", "c"), ("far", "far")]
+    df = plan(spark, internal_path=LINE, plan_type_name="x", owner_company_name="co", owner_office_number="1", transport_type_name="x").withColumn(
+        "number_of_buses", F.lit(2.0))
+    assert sorted(r.camera for r in proximity.camera_plan_pairs(df, cameras).collect()) == ["a", "b", "c"]
+    assert sorted(r.camera for r in proximity.camera_directions(df, cameras).collect()) == ["a", "b", "c"]
+    stats = sorted((r.level, r.camera, r.buses) for r in proximity.camera_stats(df, cameras).collect())
+    assert stats == [(level, c, 2.0) for level in ("camera", "group") for c in "abc"]
+
+
+def test_segments_and_places_are_compared_once(spark):
+    """Ten plans on one line, ten gates at one place: one segment a cell meets one place."""
+    lines = plan(spark, internal_path=LINE).withColumn("end_geom", F.explode(F.array(*[F.lit(f"POINT (10.{i} 10)") for i in range(10)])))
+    gates = spark.range(10).selectExpr("concat('g', id) as gate", "39.905D as longitude", "21.40009D as latitude")
+    corridors = proximity._corridors(proximity.distinct_geometries(lines).select("geom"), 20.0).where("x1 <> x2")
+    assert corridors.count() == corridors.distinct().count() > 0
+    assert proximity.points_near_plans(lines, gates, "gate", all_without_geometry=False).count() == 10
