@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from convoyspark.functions import text as t
+from convoyspark.functions import geo, text as t
 from convoyspark.operators import derive as d
 from convoyspark.operators.entities import residence_file_key
 from convoyspark.operators.filters import PlanFilter, entity_condition
@@ -18,18 +18,23 @@ def residence_facts(plans: DataFrame) -> DataFrame:
     given first; finding it costs no second pass because rows are first reduced
     to (center, residence, name).
     """
+    # A key is blank where its name is; a filter on the key would fold every name twice.
     rows = d.with_residence(d.with_measures(d.with_entity_keys(plans))).where(
-        t.truthy(F.col("owner_office_number")) & (F.col("residence_key") != ""))
+        t.truthy(F.col("owner_office_number")) & (F.col("residence_name") != ""))
     kind = t.text_key(F.concat_ws(" ", F.coalesce("plan_type_code", F.lit("")), F.coalesce("plan_type_name", F.lit(""))))
-    has = lambda *words: kind.contains(words[0]) | kind.contains(words[1])
+    # Bound and worked out once; written out for each test, it makes a generated method too long to be compiled.
+    rows = rows.withColumn("kinds_", geo.let(kind, lambda k: F.struct(
+        (k.contains("tarwia") | k.contains("تروية")).alias("tarwia"), (k.contains("taseed") | k.contains("تصعيد")).alias("taseed"))))
     of = lambda test: F.sum(F.when(test, F.col("pilgrims")).otherwise(F.lit(0.0)))
     named = rows.groupBy("company_key", "center_key", "residence_key", "residence_name").agg(
         F.sum("pilgrims").alias("pilgrims"),
-        of(has("tarwia", "تروية")).alias("tarwia"),
-        of(has("taseed", "تصعيد")).alias("taseed"),
+        of(F.col("kinds_.tarwia")).alias("tarwia"),
+        of(F.col("kinds_.taseed")).alias("taseed"),
         F.min(s.ROW).alias("first_row"),
     )
-    return named.groupBy("company_key", "center_key", "residence_key").agg(
+    # A residence has a row for each spelling: nothing to combine before the shuffle, so the one sort comes after it.
+    whole = ["company_key", "center_key", "residence_key"]
+    return named.repartition(*whole).groupBy(*whole).agg(
         F.min_by("residence_name", F.struct("first_row", "residence_name")).alias("residence_name"),
         *[F.sum(c).alias(c) for c in ("pilgrims", "tarwia", "taseed")],
     )
