@@ -8,6 +8,8 @@ map-side, which is what keeps a center with a third of all plans harmless.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convoyspark.functions import text as t
@@ -26,25 +28,18 @@ def assignment_totals(plans: DataFrame) -> DataFrame:
     fine = keyed.groupBy(
         "center_key", "center_number_key", F.nullif(d.plan_type_code_or_name(), F.lit("")).alias("plan_type"), "assignment_key",
     ).agg(F.max("allocated").alias("allocated"))
-    center, number = F.col("center_key"), F.col("center_number_key")
-    kind, assignment = F.col("plan_type"), F.col("assignment_key")
-    per_assignment = fine.groupingSets(
-        [[center, assignment], [number, assignment], [center, kind, assignment], [number, kind, assignment]],
-        center, number, kind, assignment,
-    ).agg(
-        F.grouping_id("center_key", "center_number_key", "plan_type", "assignment_key").alias("gid"),
-        F.max("allocated").alias("allocated"),
-    )
-    typed = F.col("gid").bitwiseAND(0b0010) == 0
-    return (
-        per_assignment.where(~typed | F.col("plan_type").isNotNull())
-        .groupBy(
-            F.when(F.col("gid").bitwiseAND(0b1000) == 0, "center").otherwise("number").alias("level"),
-            F.coalesce("center_key", "center_number_key").alias("key"),
-            F.col("plan_type"),
-        )
-        .agg(F.sum(F.greatest(F.lit(0.0), "allocated")).alias("total"))
-    )
+
+    def level(name: str, key: str, *kind: str) -> DataFrame:
+        """Totals by one key: a table of assignments is held for each level on its own, not four times the rows in one."""
+        tops = fine.groupBy(key, *kind, "assignment_key").agg(F.max("allocated").alias("allocated"))
+        # Rows without a type are left out at the end, and no key can be null: filters on keys would move below ``fine``,
+        # which all levels share.
+        typed = F.max(F.col("plan_type").isNotNull()) if kind else F.lit(True)
+        return tops.groupBy(key, *kind).agg(F.sum(F.greatest(F.lit(0.0), "allocated")).alias("total"), typed.alias("typed_")).where("typed_").select(
+            F.lit(name).alias("level"), F.coalesce(key, F.lit("")).alias("key"), (F.col("plan_type") if kind else F.lit(None).cast("string")).alias("plan_type"), "total")
+
+    return reduce(DataFrame.unionAll, [level(*x, *kind) for kind in ((), ("plan_type",)) for x in (
+        ("center", "center_key"), ("number", "center_number_key"))])
 
 
 def running_max_totals(plans: DataFrame, block_rows: int = 1 << 20) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from six_plans import KEY_A, KEY_B
 
+from convoyspark.functions import text
 from convoyspark.operators import assignments, breakdowns, derive, entities, filters, kpis, lookups, residences, sampling
 from convoyspark.operators.filters import PlanFilter
 
@@ -141,3 +142,26 @@ def test_keys(spark):
     df = spark.createDataFrame([(" شركة  مكه ", "0"), ("شركة مكة", " 5"), (None, None)], "c string, n string")
     got = rows(derive.with_entity_keys(df, "c", "n"), "center_key")
     assert got == [("شركة مكة|",), ("شركة مكة|5",), ("|",)]
+
+
+def test_totals_hold_no_row_four_times(plans):
+    """Each level has its own aggregate; levels by type leave out rows without one, and the overall ones keep them."""
+    untyped = plans.withColumns({c: F.when(F.col("_row") > 3, F.col(c)) for c in ("plan_type_code", "plan_type_name")})
+    totals = assignments.assignment_totals(untyped)
+    assert "Expand" not in totals._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.level, r.key): r.total for r in assignments.assignment_totals(plans).where("plan_type is null").collect()}
+    assert {(r.level, r.key): r.total for r in totals.where("plan_type is null").collect()} == whole
+    assert all(r.plan_type for r in totals.where("plan_type is not null").collect())
+
+
+def test_residence_filter_folds_no_names(plans):
+    plan = residences.residence_facts(plans)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lower(" in line or "translate(" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_key_of_a_name_with_inner_blanks(spark):
+    names = ["  Ab  c ", "a b", "a \t b", "وجه ثان ه", "ههه", "أ إ ى", "x y", "", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(text.text_key(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["ab c", "a b", "a b", "وجة ثان ة", "ههة", "ا ا ي", "x y", "", ""]
+    regexes = text.text_key(F.lit("x y"))._jc.toString()
+    assert "rlike" not in regexes.lower()
