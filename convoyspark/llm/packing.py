@@ -28,13 +28,15 @@ LARGE_SHARES = (4, 3, 2)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id",
-           text_column: str = "text") -> DataFrame:
+           text_column: str = "text", digests: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian 32-bit).
 
     A document is its text's ids (none for null or empty) and ``end_id``; only longer ones are cut, so that the first piece
-    takes the remainder. Repeated rows give repeated pieces; other columns are ignored.
+    takes the remainder. Repeated rows give repeated pieces; other columns are ignored. With ``digests``, ``ids_crc32`` (the unsigned
+    checksum of ``ids``) comes in place of ``ids``, from the same worker: a second one behind it would hold as much memory again.
     """
     kind = docs.schema[id_column].dataType.simpleString()
+    last, last_kind = ("ids_crc32", "bigint") if digests else ("ids", "binary")
 
     def cut(batches):
         encoder = tokens.encoder(tokenizer, MEMO_SLOTS)
@@ -52,28 +54,16 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int
                 start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
                 length = np.where(piece == 0, head[row], capacity)
                 at = np.concatenate(([0], np.cumsum(length))) * 4
-                raw = flat.tobytes()
+                raw = memoryview(flat.tobytes())
                 ids = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                told = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digests else pa.array([bytes(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    [id_column, "piece", "start", "length", "ids"])
+                     pa.array(length, pa.int64()), told],
+                    [id_column, "piece", "start", "length", last])
 
     return docs.select(id_column, text_column).mapInArrow(
-        lean(cut), f"`{id_column}` {kind}, piece int, start bigint, length bigint, ids binary")
-
-
-def digests(cut: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``, their unsigned checksum."""
-
-    def sums(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-            keep = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), crc], [*keep, "ids_crc32"])
-
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "ids")
-    return cut.mapInArrow(lean(sums), f"{rest}, ids_crc32 bigint")
+        lean(cut), f"`{id_column}` {kind}, piece int, start bigint, length bigint, {last} {last_kind}")
 
 
 def place(measured: DataFrame, *, capacity: int = 2048, id_column: str = "doc_id") -> DataFrame:
@@ -112,8 +102,8 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     """Every piece of every document with its sequence: id, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset``. Sequences have no gaps and at most ``capacity`` ids. An empty table gives no rows.
     """
-    cut = pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_column=id_column, text_column=text_column)
-    return place(stored(digests(cut, id_column), "pieces"), capacity=capacity, id_column=id_column)
+    cut = pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_column=id_column, text_column=text_column, digests=True)
+    return place(stored(cut, "pieces"), capacity=capacity, id_column=id_column)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0,

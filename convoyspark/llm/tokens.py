@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from . import ragged
+from .shared import release
 
 BLOCK_CHARS = 1 << 18
 MEMO_SLOTS = 1 << 21
@@ -105,6 +106,7 @@ class Encoder:
 
     def __init__(self, path: str, memo_slots: int = MEMO_SLOTS):
         self.library = Tokenizer.from_file(path)
+        release()  # what reading the file took
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.rule = _rule(self.library)
         self.letters = _byte_letters()

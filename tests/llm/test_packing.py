@@ -155,3 +155,12 @@ def test_words_and_hashes_do_not_depend_on_place():
     assert counts.tolist() == [2, 0, 0, 2, 1]
     h = ragged.hashes(data, starts, ends)
     assert h[0] == h[4] and h[1] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_checksums_come_from_the_worker_that_cuts(rows, capfd):
+    docs = rows([(i, t) for i, t in enumerate(ODD)] + [(99, None)], "doc_id bigint, text string")
+    whole = {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in packing.pieces(docs, BYTES, capacity=64).collect()}
+    told = packing.pieces(docs, BYTES, capacity=64, digests=True)
+    told.explain()
+    assert capfd.readouterr().out.count("MapInArrow") == 1
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in told.collect()} == whole and len(whole) > len(ODD)
