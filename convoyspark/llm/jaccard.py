@@ -12,8 +12,9 @@ so no link is lost.
 
 Not all pairs of a large group are listed. First every node is compared with its neighbour and with the most central node in each
 n-gram's group, and what is linked becomes one component; then all remaining pairs *between* components are compared. So large
-groups of near copies cost about their size, and no link that would join two components is lost. Pairs are distinct before
-sketches are looked up, and only what passes them has its sets compared, once.
+groups of near copies cost about their size, and no link that would join two components is lost. Two nodes of different components
+meet at the least n-gram that both have: each row has the few least n-grams of its node, and a row beyond one that both nodes list
+is passed over. Pairs are distinct before sketches are looked up, and only what passes them has its sets compared, once.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MOST_SKETCH_BITS = 20
 FAN_IN = 256
 BROADCAST_ROWS = 1 << 20
 BLOCK_CHARS = 1 << 17
+LISTED = 16  # least n-grams that a row has of its node; two nodes that share none of these may meet more than once
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 _PLACE = ragged.mix(np.arange(1001, 1129, dtype=np.uint64)) | np.uint64(1)
 
@@ -280,10 +282,13 @@ def _links(docs: DataFrame, own: DataFrame, signatures: DataFrame, classes: Data
     label = stored(components(links), "labels")
     spread = met.drop("b", "c").join(_few(label), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     spread = spread.withColumn("_a", F.min("comp").over(group)).withColumn("_b", F.max("comp").over(group)).filter("_a < _b").drop("_a", "_b")
-    tagged = stored(stored(spread, "spread").join(classes.select("node", *SKETCH), "node"), "between")
-    fields = ["node", "n", "pos", *SKETCH, "comp"]
+    spread = stored(spread, "spread")
+    tagged = stored(spread.join(classes.select("node", *SKETCH), "node").join(_least(spread, own), "node", "left"), "between")
+    fields = ["node", "n", "pos", *SKETCH, "comp", "least"]
     x, y = (tagged.select("token", *(F.col(f).alias(f"{p}{f}") for f in fields)) for p in ("x", "y"))
-    apart = x.join(y, (x["token"] == y["token"]) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", percent))
+    met_at = F.array_min(F.array_intersect("xleast", "yleast"))
+    apart = x.join(y, (x["token"] == y["token"]) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", percent)
+                   & (x["token"] <= F.coalesce(met_at, x["token"])))
     return links.unionByName(_verified(_pairs(apart, "xnode", "ynode"), docs, classes, sets_of, percent, confirm))
 
 
@@ -299,5 +304,13 @@ def _one_per_list(rows: DataFrame) -> DataFrame:
     return met.drop("l1", "l2").join(kept, "token", "left_semi")
 
 
+def _least(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """``node`` and ``least``, the ``LISTED`` least n-grams that rows name it for. Ids of several documents are left out: what one of their
+    texts shares says nothing about the others."""
+    repeated = own.select("doc_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("node"))
+    least = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LISTED).alias("least"))
+    return least.join(repeated, "node", "left_anti")
+
+
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return stored(rows.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "pairs")

@@ -101,3 +101,35 @@ def test_components(rows):
     got = dict(stars.components(rows(links, "x bigint, y bigint")).collect())
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, **{k: 300 for k in range(300, 340)}}
     assert stars.components(rows([], "x bigint, y bigint")).count() == 0
+
+
+def test_nodes_of_different_components_meet_once(rows, monkeypatch):
+    """Each text is a choice of six of twelve passages, so two texts share many lists of nodes, and few of them link."""
+    rng = random.Random(11)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(12)]
+    data = [(i, " ".join(sum(rng.sample(passages, 6), []))) for i in range(50)]
+    counted, pairs = [], jaccard._pairs
+
+    def counting(met, x, y):
+        counted.append((met.count(), met.select(x, y).distinct().count()))
+        return pairs(met, x, y)
+
+    monkeypatch.setattr(jaccard, "_pairs", counting)
+    monkeypatch.setattr(jaccard, "_may_link", lambda x, y, percent: jaccard.F.lit(True))  # the filters would leave few
+    assert found(rows, data) == brute(data)
+    met, distinct = counted[1]
+    assert distinct > 400 and met <= 1.2 * distinct
+
+
+def test_texts_that_share_an_id_are_each_compared(rows):
+    """What one text of an id shares with a node says nothing about the id's other texts."""
+    rng = random.Random(13)
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    data = []
+    for i in range(40):
+        one, two = list(a), list(b)
+        one[rng.randrange(60)], two[rng.randrange(60)] = f"x{i}", f"y{i}"
+        data += [(1000 + i, " ".join(one)), (2000 + i, " ".join(two))]
+    data += [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(a[:30] + b[:30]))]
+    got = {d: c for d, _, c in found(rows, data) if d >= 1000}
+    assert set(got.values()) == {5}
