@@ -203,3 +203,52 @@ def test_segments_and_places_are_compared_once(spark):
     corridors = proximity._corridors(proximity.distinct_geometries(lines).select("geom"), 20.0).where("x1 <> x2")
     assert corridors.count() == corridors.distinct().count() > 0
     assert proximity.points_near_plans(lines, gates, "gate", all_without_geometry=False).count() == 10
+
+
+def _varied_plans(spark, n=40):
+    """Plans with every kind of text, some of them broken or alike; three rows come twice."""
+    rng = random.Random(9)
+    spot = lambda: f"{39.9 + rng.randrange(5) / 100} {21.4 + rng.randrange(5) / 100}"
+    line = lambda: rng.choice([None, "", "{bad", f"LINESTRING ({spot()}, {spot()})", f" LINESTRING ({spot()}, x y, {spot()}, {spot()})"])
+    point = lambda: rng.choice([None, f"POINT ({spot()})", f'{{"type":"Point","coordinates":[{spot().replace(" ", ",")}]}}'])
+    rows = [(k, str(k), rng.choice(["tarwia", "efada"]), rng.choice([None, "residence"]), rng.choice(["camp", "residence"]), line(), line(), point(), point(), point(), point())
+            for k in range(n)]
+    schema = ("_row bigint, plan_id string, plan_type_code string, start_point_type string, end_point_type string, internal_path string, path_geom string, "
+              "start_geom string, end_geom string, entrance_point_geom string, get_parking_geom string")
+    return spark.createDataFrame(rows + rows[:3] + [(0, "0", "tarwia", None, "camp", "LINESTRING (1 2, 3 4)", None, None, None, None, None)], schema)
+
+
+def _exchanges_of_rows(df):
+    """Shuffles in a plan that are dealt by the key of a row."""
+    return [x for x in df._jdf.queryExecution().toString().split("== Physical Plan ==")[-1].splitlines() if "Exchange hashpartitioning(_row" in x]
+
+
+def _same_rows(a, b):
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+@pytest.mark.parametrize("of", [orient.route_orientation, orient.connected_routes, geometry.explode_geometries])
+def test_texts_are_looked_up_in_place(spark, monkeypatch, of):
+    """Plans that occur once are not shuffled, and the rows are those of plans whose items are joined."""
+    df = _varied_plans(spark)
+    here = of(df)
+    assert not _exchanges_of_rows(of(df.where("_row > 2")))
+    monkeypatch.setattr(geometry, "is_small", lambda *_: False)
+    assert _same_rows(here, of(df)) and here.count() > 30
+
+
+def test_bounds_parse_each_text_once(spark):
+    df = _varied_plans(spark)
+    each = geometry.explode_geometries(df).select("geom", F.explode(F.flatten("geom.parts")).alias("p"))
+    want = each.agg(F.min("p.lon"), F.min("p.lat"), F.max("p.lon"), F.max("p.lat")).head()
+    got = geometry.geometry_bounds(df)
+    assert tuple(got.head()) == (*want, geometry.explode_geometries(df).count())
+    assert "Aggregate [text#" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lookups_do_not_shuffle_plans(spark):
+    """The size of a lookup is known before plans meet it."""
+    plans = _varied_plans(spark).withColumns({"camp_label": F.lit("1/2"), "entrance_asm_code": F.lit("E1"), "plan_type_name": F.lit(None).cast("string")})
+    paths = spark.createDataFrame([(1, "1/2", "E1", "p", LINE)], "_row bigint, camp_label string, entrance_code string, path_code string, geom_text string")
+    physical = lookups.with_camp_path(plans, paths)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical
