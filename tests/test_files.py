@@ -72,6 +72,14 @@ def test_camera_export(spark, tmp_path):
     assert text.startswith('"﻿اسم الكاميرا"') and text.endswith('"c""1","t","x","co","7","2","6"\r\n')
 
 
+def test_camera_export_compressed(spark, tmp_path):
+    stats = spark.createDataFrame([("group", "c", "t", "x", "co", "7", 2.0, 6.0)], "level string, camera string, plan_type string, transport string, "
+                                  "company string, center string, buses double, trips double")
+    sink.write_camera_stats(stats, str(tmp_path / "out"), compression="gzip")
+    assert [*(tmp_path / "out").glob("*.csv.gz")] and not [*(tmp_path / "out").glob("*.csv")]
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()] == [("c", "t", "x", "co", "7", "2", "6")]
+
+
 def test_latest_file_and_ingest(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -252,3 +252,16 @@ def test_lookups_do_not_shuffle_plans(spark):
     paths = spark.createDataFrame([(1, "1/2", "E1", "p", LINE)], "_row bigint, camp_label string, entrance_code string, path_code string, geom_text string")
     physical = lookups.with_camp_path(plans, paths)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical
+
+
+def test_cameras_are_looked_up_in_place(spark, monkeypatch):
+    """Plans that occur once are not shuffled to their cameras, and the rows are those of plans whose texts are joined."""
+    df = _varied_plans(spark, 15).withColumns({"plan_type_name": F.lit("x"), "transport_type_name": F.lit("t"), "owner_company_name": F.col("plan_id"),
+                                               "owner_office_number": F.lit("1"), "number_of_buses": F.lit(2.0)})
+    cameras = spark.createDataFrame([(f"c{k}", 39.9 + k % 5 / 100, 21.4 + k // 5 / 100) for k in range(20)], "name string, longitude double, latitude double")
+    of = (proximity.camera_plan_pairs, proximity.camera_directions, proximity.camera_stats)
+    here = [f(df, cameras) for f in of]
+    assert not _exchanges_of_rows(proximity.camera_plan_pairs(df.where("_row > 2"), cameras))
+    for module in (geometry, proximity):
+        monkeypatch.setattr(module, "is_small", lambda *_: False)
+    assert all(_same_rows(a, f(df, cameras)) and a.count() for a, f in zip(here, of))
