@@ -165,3 +165,10 @@ def test_key_of_a_name_with_inner_blanks(spark):
     assert [r[0] for r in got] == ["ab c", "a b", "a b", "وجة ثان ة", "ههة", "ا ا ي", "x y", "", ""]
     regexes = text.text_key(F.lit("x y"))._jc.toString()
     assert "rlike" not in regexes.lower()
+
+
+def test_center_table_shuffles_no_key_beside_its_parts(plans):
+    """Rows are dealt by company, number, camp and residence; the keys made of them are built afterwards."""
+    plan = entities.center_table(plans)._jdf.queryExecution().executedPlan().toString()
+    widest = max((x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "residence" in x), key=len)
+    assert "camp#" in widest and "assignment_key" not in widest and "center_key" not in widest
